@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common
+from . import common, host_rules, packing, secrets, simhash, token_files
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import token_files
-
     out = common.shared_dir(spark)
     manifest = token_files.write_token_files(common.table(spark, sf_dir, "documents"), out)
     return token_files.digest(spark, out, manifest)
 
 
-def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import packing
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.report(common.table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op7_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_host_rules, op4_simhash_near_duplicates, op7_best_fit_packing, op9_secret_scan)}
+ORACLE_SQL: dict[str, str] = {"op3_host_rules": host_rules.ORACLE_SQL}
