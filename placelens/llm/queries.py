@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, host_rules, packing, secrets, simhash, token_files
+from . import common, host_rules, packing, secrets, simhash, substrings, token_files, warc
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +21,21 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(common.table(spark, sf_dir, "pages"), common.shared_dir(spark))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(common.table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_host_rules, op4_simhash_near_duplicates, op7_best_fit_packing, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_host_rules, op4_simhash_near_duplicates, op5_warc_archives, op7_best_fit_packing, op8_repeated_substrings, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {"op3_host_rules": host_rules.ORACLE_SQL}
