@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, host_rules, packing, secrets, simhash, substrings, token_files, warc
+from . import common, host_rules, main_text, packing, secrets, simhash, substrings, token_files, warc
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(common.table(spark, sf_dir, "pages"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +41,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_host_rules, op4_simhash_near_duplicates, op5_warc_archives, op7_best_fit_packing, op8_repeated_substrings, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_token_files, op3_host_rules, op4_simhash_near_duplicates, op5_warc_archives, op7_best_fit_packing, op8_repeated_substrings, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {"op3_host_rules": host_rules.ORACLE_SQL}
