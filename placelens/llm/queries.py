@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, host_rules, main_text, packing, secrets, simhash, substrings, token_files, warc
+from . import common, decontaminate, host_rules, lines, main_text, packing, secrets, simhash, substrings, token_files, warc
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(common.table(spark, sf_dir, "pages"), common.shared_dir(spark))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(common.table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_token_files, op3_host_rules, op4_simhash_near_duplicates, op5_warc_archives, op7_best_fit_packing, op8_repeated_substrings, op9_secret_scan)}
-ORACLE_SQL: dict[str, str] = {"op3_host_rules": host_rules.ORACLE_SQL}
+def op10_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_token_files, op3_host_rules, op4_simhash_near_duplicates, op5_warc_archives, op6_line_runs, op7_best_fit_packing, op8_repeated_substrings, op9_secret_scan, op10_benchmark_items)}
+ORACLE_SQL: dict[str, str] = {"op3_host_rules": host_rules.ORACLE_SQL, "op6_line_runs": lines.ORACLE_SQL, "op10_benchmark_items": decontaminate.ORACLE_SQL}
