@@ -195,3 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = distinct.join(roots, distinct.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(classes, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with its columns, whose id is the least of its component; null ids stay.
+
+    A document is its id: rows with equal ids stay or go together.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    name = common.hidden(docs, "gone")["gone"]
+    gone = common.written(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")
