@@ -1,4 +1,11 @@
 """Every registered query and its SQL."""
 
+from __future__ import annotations
+
+from placelens.plans import costs, documents, relational, search, texts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _plans in (relational, search, texts, costs, documents):
+    QUERIES |= _plans.QUERIES
+    ORACLE_SQL |= _plans.ORACLE_SQL
