@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import json
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -40,9 +41,14 @@ def written(df: DataFrame, where: str | None = None) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished, unreferenced plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished, unreferenced plans.
+
+    The first collection frees what Python referred to; only the next ones find the plans.
+    """
+    for _ in range(4):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.8)
 
 
 def remove(spark: SparkSession, where: str) -> None:
