@@ -25,6 +25,7 @@ other columns are left out.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +98,10 @@ def _grouped(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[first], np.diff(np.concatenate([first, [len(doc)]]))
 
 
-def _send(t: Texts, doc: np.ndarray, pos: np.ndarray, size: int, shift: int, buckets: int, every: bool) -> Iterator[pa.RecordBatch]:
+def _send(t: Texts, doc: np.ndarray, pos: np.ndarray, size: int, shift: int, buckets: int, every: bool, block: tuple[int, int] = (0, 1)) -> Iterator[pa.RecordBatch]:
     """Rows for the buckets; what this group alone decides goes past them under a bucket below zero.
 
+    block: (k, n) leaves out buckets whose number is not k modulo n.
     every: all members of a repeated class are flagged, else all but the first.
     """
     if not len(doc):
@@ -113,19 +115,23 @@ def _send(t: Texts, doc: np.ndarray, pos: np.ndarray, size: int, shift: int, buc
     if every:
         decided[order[np.flatnonzero(same) - 1]] = True
     rows = []
-    if decided.any():
+    if decided.any() and not block[0]:
         own, counts = _grouped(doc[decided])
         rows.append((-1 - int(other[0] % _U(buckets)), t.ids[own].tobytes(), t.hs[own].tobytes(), counts.astype("<u4").tobytes(), b"", pos[decided].astype("<u4").tobytes()))
     sent = np.flatnonzero(~later)
     bucket = (other[sent] % _U(buckets)).astype(np.int32)
+    if block[1] > 1:
+        own = bucket % block[1] == block[0]
+        sent, bucket = sent[own], bucket[own]
     by = np.argsort(bucket, kind="stable")
     sent, bucket = sent[by], bucket[by]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for part in np.split(np.arange(len(sent)), cuts):
+    for part in np.split(np.arange(len(sent)), cuts) if len(sent) else []:
         rest = sent[part]
         own, counts = _grouped(doc[rest])
         rows.append((int(bucket[part[0]]), t.ids[own].tobytes(), t.hs[own].tobytes(), counts.astype("<u4").tobytes(), key[rest].tobytes() if not every else np.ascontiguousarray(key[rest].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes(), pos[rest].astype("<u4").tobytes() if pos[rest].max() > 0xFFFF else pos[rest].astype("<u2").tobytes()))
-    yield common.batch(_SENT_SCHEMA, *map(list, zip(*rows, strict=True)))
+    if rows:
+        yield common.batch(_SENT_SCHEMA, *map(list, zip(*rows, strict=True)))
 
 
 def _groups(batches, most: int = 3_000_000):
@@ -176,7 +182,7 @@ def _covered(starts: np.ndarray, ahead: int, behind: int, n: int) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def _strings(length: int, buckets: int):
+def _strings(length: int, buckets: int, block: tuple[int, int]):
     v, _ = cover(length)
 
     def run(batches):
@@ -188,7 +194,7 @@ def _strings(length: int, buckets: int):
                 p, q = p[p < m + v - 1], q[q < m + v - 1]
                 found.append(np.flatnonzero(_covered(p, v - 1, 0, m + v)[:m] & ~_covered(q, v - 1, 0, m + v)[:m]) if m > 0 else np.zeros(0, np.int64))
             doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield from _send(t, doc, np.concatenate(found), length, 0, buckets, every=False)
+            yield from _send(t, doc, np.concatenate(found), length, 0, buckets, every=False, block=block)
 
     return run
 
@@ -263,8 +269,10 @@ def _pass(rows: DataFrame, send: Callable, buckets: int, every: bool) -> DataFra
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 3_000_000) -> DataFrame:
-    """(doc_id, text, covers, strings): covers: samples whose neighbourhood occurs earlier; strings: places of later strings."""
+def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 3_000_000, blocks: int = 2) -> DataFrame:
+    """The last pass, which has the most suffixes, takes its buckets in `blocks` parts, one after the other.
+
+    Returns (doc_id, text, covers, strings): covers: samples whose neighbourhood occurs earlier; strings: places of later strings."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     v, d = cover(length)
@@ -277,7 +285,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     settled = _pass(known.join(flagged, ["doc_id", "h"]), _neighbourhoods(length, buckets), buckets, every=False)
     covers = by_doc(settled, "covers")
     left = known.join(flagged.join(covers, ["doc_id", "h"], "left"), ["doc_id", "h"])
-    strings = by_doc(_pass(left, _strings(length, buckets), buckets, every=False), "strings")
+    later = [_pass(left, _strings(length, buckets, (k, blocks)), buckets, every=False) for k in range(blocks)]
+    strings = by_doc(reduce(DataFrame.union, later), "strings")
     both = covers.join(strings, ["doc_id", "h"], "full")
     return rows.join(both, ["doc_id", "h"], "left").select("doc_id", "text", "covers", "strings")
 
