@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placelens.operators import quality, scoring
+from placelens.operators import decisions, household, quality, scoring
 from placelens.plans.base import from_sql, table
 from placelens.plans.registry import registry
 
@@ -31,13 +31,13 @@ _FEE_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 TH
 
 @query(f"""WITH x AS ({_FEE_SQL}), h AS (SELECT *, CASE WHEN hours IS NULL OR hours <= 0 THEN NULL WHEN care_type = 'breakfast_club' THEN least(hours, 1.5) WHEN care_type = 'after_school_club' THEN least(hours, 3.0) ELSE hours END AS sh FROM x)
 SELECT l_orderkey, l_linenumber, round(CASE WHEN per_hour IS NOT NULL THEN per_hour WHEN band <> 'all' AND full_day / day_hours IS NOT NULL THEN full_day / day_hours WHEN band <> 'all' AND morning IS NOT NULL THEN morning / 5
- WHEN per_session IS NOT NULL THEN per_session / sh WHEN hours > 0 THEN per_day / hours ELSE per_day / 10 END, 6) AS rate FROM h""")
+ WHEN per_session IS NOT NULL THEN per_session / sh WHEN hours > 0 THEN per_day / hours ELSE per_day / 10 END, 9) AS rate FROM h""")
 def hourly_rate_waterfall(spark, d):
     x = from_sql(spark, d, _FEE_SQL, "lineitem")
     none = F.lit(None).cast("double")
     fee = {"per_hour": c("per_hour"), "full_day": c("full_day"), "morning_session": c("morning"), "afternoon_session": none, "per_session": c("per_session"), "per_day": c("per_day")}
     session = {"full_day": c("day_hours"), "morning": F.lit(5.0), "afternoon": none}
-    return x.select("l_orderkey", "l_linenumber", F.round(scoring.hourly_rate(c("band"), fee, session, c("care_type"), c("hours")), 6).alias("rate"))
+    return x.select("l_orderkey", "l_linenumber", F.round(scoring.hourly_rate(c("band"), fee, session, c("care_type"), c("hours")), 9).alias("rate"))
 
 
 _CHILD_SQL = """SELECT o_orderkey AS child_id, year(o_orderdate) + 27 AS birth_year, month(o_orderdate) AS birth_month, o_custkey % 2 = 0 AS has_partner, o_custkey % 3 <> 0 AS user_works, o_custkey % 4 <> 0 AS partner_works,
@@ -96,3 +96,74 @@ def credit_support(spark, d):
 def opening_hours_quality(spark, d):
     p = table(spark, d, "part").select(c("p_partkey").alias("k"), "p_size", (c("p_size").cast("double") / 2).alias("o"), ((c("p_size") + c("p_partkey") % 20).cast("double") / 2).alias("e"))
     return quality.violations(p, "k", quality.opening_hours_rules(c("o"), c("e"), c("p_size") % 8))
+
+
+@query("""SELECT p_partkey, CASE WHEN a AND b AND far THEN 'success_postcode_override' WHEN a THEN 'success' WHEN b THEN 'success_postcode_fallback' WHEN p_size % 2 = 0 THEN 'api_error' ELSE 'no_results' END AS status, CASE WHEN a AND NOT (b AND far) THEN 51.0E0 WHEN b THEN 51.0E0 + CAST(p_size AS DOUBLE) / 500 END AS lat
+ FROM (SELECT p_partkey, p_size, p_partkey % 3 <> 0 AS a, p_partkey % 4 <> 0 AS b, p_size * 6371.0 * pi() / 180 / 500 > 5 AS far FROM part)""")
+def geocode_arbitration(spark, d):
+    k, s = c("p_partkey"), c("p_size")
+    g = decisions.arbitrate_geocode(F.when(k % 3 != 0, 51.0), F.when(k % 3 != 0, -1.0), F.when(k % 4 != 0, 51.0 + s.cast("double") / 500), F.when(k % 4 != 0, -1.0), s % 2 == 0)
+    return table(spark, d, "part").select("p_partkey", g.alias("g")).select("p_partkey", "g.status", "g.lat")
+
+
+@query("SELECT p_partkey, CASE WHEN hi IS NULL THEN NULL WHEN mm IS NULL AND my IS NULL THEN 0 ELSE mm END AS min_months, CASE WHEN hi IS NOT NULL THEN my END AS min_years FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS mm, CASE WHEN p_partkey % 4 = 0 THEN p_size END AS my, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS hi FROM part)")
+def age_repair(spark, d):
+    k, s = c("p_partkey"), c("p_size")
+    months, years = decisions.repair_ages(F.when(k % 3 == 0, s), F.when(k % 4 == 0, s), F.when(k % 5 != 0, s))
+    return table(spark, d, "part").select("p_partkey", months.alias("min_months"), years.alias("min_years"))
+
+
+@query("""SELECT p_partkey, coalesce(b, a, z) AS value, CASE WHEN b IS NOT NULL THEN 'census' WHEN a IS NOT NULL THEN 'local' WHEN z IS NOT NULL THEN 'base' END AS source,
+ array_to_string(list_filter([CASE WHEN z <> a THEN 'base:' || z END, CASE WHEN coalesce(a, z) <> b THEN CASE WHEN a IS NOT NULL THEN 'local:' ELSE 'base:' END || coalesce(a, z) END], lambda x: x IS NOT NULL), ',') AS conflicts
+ FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS z, CASE WHEN p_partkey % 3 = 0 THEN p_size % 10 END AS a, CASE WHEN p_partkey % 5 = 0 THEN p_size % 7 END AS b FROM part)""")
+def layered_values(spark, d):
+    k, s = c("p_partkey"), c("p_size")
+    v = decisions.layered(F.when(k % 2 == 0, s), ("local", F.when(k % 3 == 0, s % 10)), ("census", F.when(k % 5 == 0, s % 7)))
+    return table(spark, d, "part").select("p_partkey", v.alias("v")).select("p_partkey", "v.value", "v.source", F.array_join("v.conflicts", ",").alias("conflicts"))
+
+
+@query("SELECT p_partkey, CASE WHEN a AND b AND s THEN 'LA + Ofsted + School' WHEN a AND b THEN 'LA + Ofsted' WHEN a THEN 'LA only' WHEN b AND s THEN 'Ofsted + School' WHEN b THEN 'Ofsted only' ELSE 'Other' END AS tier FROM (SELECT p_partkey, p_partkey % 2 = 0 AS a, p_partkey % 3 = 0 AS b, p_partkey % 5 = 0 AS s FROM part)")
+def source_tiers(spark, d):
+    k = c("p_partkey")
+    sources = F.array_compact(F.array(F.when(k % 2 == 0, "la_scrape"), F.when(k % 3 == 0, "ofsted"), F.when(k % 5 == 0, "school_census")))
+    return table(spark, d, "part").select("p_partkey", decisions.source_tier(sources).alias("tier"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'L:' || p_brand WHEN 1 THEN 'T' WHEN 2 THEN 'R:' || array_to_string(list_sort([p_size % 5, p_size % 3]), '') || CASE WHEN p_size % 2 = 0 THEN 'Y' ELSE 'N' END || '-' END AS code FROM part""")
+def inspection_codes(spark, d):
+    framework = F.get(F.array(*map(F.lit, ("legacy", "legacy_transition", "report_card", None))), (c("p_partkey") % 4).cast("int"))
+    code = decisions.inspection_code(framework, c("p_brand"), [c("p_size") % 5, c("p_size") % 3, F.lit(None).cast("int")], [c("p_size") % 2 == 0, F.lit(None).cast("boolean")])
+    return table(spark, d, "part").select("p_partkey", code.alias("code"))
+
+
+_CARE = "(CASE l_partkey % 6 WHEN 0 THEN 'private_nursery' WHEN 1 THEN 'childminder' WHEN 2 THEN 'breakfast_club' WHEN 3 THEN 'holiday_club' WHEN 4 THEN 'free_breakfast_club' ELSE 'school_based_nursery' END)"
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CARE} AS care, l_linenumber % 3 AS m, l_linenumber % 2 AS f, l_quantity AS h, l_extendedprice / 100 AS fee, CASE WHEN l_suppkey % 2 = 0 THEN 38 ELSE 50 END AS w FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN care LIKE '%nursery' THEN (m * fee + f * fee * 2) * w WHEN care = 'childminder' THEN h * fee * w WHEN care = 'breakfast_club' THEN m * fee * 38 WHEN care = 'holiday_club' THEN h * fee ELSE 0 END, 4) AS total,
+ CAST(CASE WHEN care = 'holiday_club' THEN h WHEN care = 'childminder' THEN CASE WHEN m > 0 THEN m ELSE least(5, ceil(h / 6)) END * w WHEN care LIKE '%nursery' THEN greatest(m, f) * w ELSE m * 38 END AS DOUBLE) AS days FROM x""")
+def gross_fees(spark, d):
+    x = table(spark, d, "lineitem").withColumn("care", F.expr(_CARE)).withColumn("fee", c("l_extendedprice") / 100)
+    m, f, h = c("l_linenumber") % 3, c("l_linenumber") % 2, c("l_quantity")
+    w = F.when(c("l_suppkey") % 2 == 0, 38).otherwise(50)
+    none = F.lit(None).cast("int")
+    fees = {"morning": c("fee"), "afternoon": none, "full_day": c("fee") * 2, "per_hour": c("fee"), "per_session": c("fee"), "per_day": c("fee")}
+    gross = household.gross_fee(c("care"), {"morning": m, "afternoon": none, "full_day": f}, fees, h, m, h, w)
+    nursery = c("care").isin(*household.NURSERIES)
+    days = household.attendance_days(c("care"), [F.when(nursery, m), F.when(nursery, f)], h, m, h, w)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(gross["total"], 4).alias("total"), days.cast("double").alias("days"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_custkey % 256 & 8 <> 0 THEN o_custkey % 256 | 64 ELSE o_custkey % 256 END AS BIGINT) AS mask, coalesce(CASE WHEN o_custkey % 3 <> 0 THEN o_custkey % 40 END <= 24, true) AND coalesce(CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 60 END >= 12, true) AS fits FROM orders")
+def masks_and_age_overlap(spark, d):
+    k = c("o_custkey")
+    mask = decisions.expand_mask(k % 256, 3, 6)
+    fits = decisions.age_overlap(F.when(k % 3 != 0, k % 40), F.when(k % 5 != 0, k % 60), F.lit(12), F.lit(24))
+    return table(spark, d, "orders").select("o_orderkey", mask.cast("long").alias("mask"), fits.alias("fits"))
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag = 'A' AND l_partkey % 2 = 0 AS moved, CASE WHEN l_returnflag = 'A' AND l_partkey % 2 = 0 THEN 'R' ELSE l_returnflag END AS kind, l_partkey * 1000 + l_suppkey AS tie FROM lineitem)
+SELECT l_orderkey, kind, min(tie) AS tie FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey, kind ORDER BY moved DESC, tie) AS r FROM m) WHERE r = 1 GROUP BY l_orderkey, kind""")
+def reassigned_kinds(spark, d):
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", c("l_returnflag").alias("kind"), (c("l_partkey") * 1000 + c("l_suppkey")).alias("tie"))
+    return decisions.reassign_and_dedupe(x, "l_orderkey", "kind", "A", "R", c("l_partkey") % 2 == 0, "tie").select("l_orderkey", "kind", "tie")
