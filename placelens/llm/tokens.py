@@ -11,7 +11,7 @@ END_ID = 0
 #: A chunk starts at a single space between two characters that are no white space.
 #: Byte-level pre-tokenizers never let a piece cross such a place.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s | \s|\0")
+_ODD = re.compile(r" (?:\s|(?<=\s ))")
 
 
 def default_path() -> str:
@@ -34,16 +34,22 @@ class _Memo(dict):
 class Encoder:
     """encode(texts) -> (ids of all texts with an end id after each, tokens per text).
 
-    Special tokens' strings count as ordinary text. The memo holds at most
-    max_chunks chunks and max_chars characters and starts anew beyond.
+    Special tokens' strings count as ordinary text. Beyond max_chunks chunks or
+    max_chars characters the memo keeps those that came up again, the most
+    frequent first, up to half as many.
     """
 
-    def __init__(self, path: str, max_chunks: int = 700_000, max_chars: int = 16_000_000):
+    def __init__(self, path: str, max_chunks: int = 400_000, max_chars: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.model._resize_cache(0)  # the memo stands in for it
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, k in vocabulary.items():
+            self.n_bytes[k] = len(token)
         self.max_chunks, self.max_chars = max_chunks, max_chars
         self._clear()
 
@@ -52,31 +58,63 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 1
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.flat[0], self.sizes[0] = END_ID, 1
+        self.hits = np.zeros(1, np.int64)
+
+    def _shrink(self) -> None:
+        old, names, hits = (self.flat, self.starts, self.sizes), list(self.memo), self.hits
+        again = np.flatnonzero(hits[1:] > 1) + 1
+        if len(again) > self.max_chunks // 2:
+            again = np.sort(again[np.argsort(-hits[again], kind="stable")[: self.max_chunks // 2]])
+        self._clear()
+        if sum(len(names[k - 1]) for k in again.tolist()) > self.max_chars // 2:
+            return
+        for k in again.tolist():
+            self.memo[names[k - 1]] = len(self.memo) + 1
+        sizes = old[2][again]
+        ends = np.cumsum(sizes)
+        ids = old[0][np.repeat(old[1][again] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.flat, self.used = np.concatenate([np.array([END_ID], np.uint32), ids]), len(ids) + 1
+        self.starts, self.sizes = np.concatenate([[0], 1 + ends - sizes]), np.concatenate([[1], sizes])
+        self.hits = np.concatenate([[0], np.minimum(hits[again] // 2, 1 << 30)])
+        self.chars = sum(map(len, self.memo))
+
+    def _ids(self, some: list[str], led: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks and their numbers. Chunks led by a space are encoded joined, as they lie in texts, and cut by their bytes."""
+        if led:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum(np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in some), np.int64, len(some)))
+            at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+            return ids, np.diff(at, prepend=0)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter((i for x in each for i in x), np.int64, int(sizes.sum())), sizes
 
     def _learn(self) -> None:
         new, self.memo.new = self.memo.new, []
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            at = len(self.memo) - len(new) + k + 1
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while at + len(ids) > len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.sizes[at : at + len(ids)] = sizes
-            self.starts[at : at + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            self.chars += sum(map(len, some))
+        first = len(self.memo) - len(new) + 1
+        led = [c[:1] == " " and bool(c[1:2].strip()) and bool(c[-1:].strip()) for c in new]
+        for kind in (True, False):
+            own = [k for k, x in enumerate(led) if x == kind]
+            for k in range(0, len(own), 1024):
+                at = np.array(own[k : k + 1024]) + first
+                some = [new[i] for i in own[k : k + 1024]]
+                ids, sizes = self._ids(some, kind)
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+                while first + len(new) > len(self.starts):
+                    self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.sizes[at] = sizes
+                self.starts[at] = self.used + np.cumsum(sizes) - sizes
+                self.used += len(ids)
+        self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > self.max_chunks or self.chars > self.max_chars:
-            self._clear()
+            self._shrink()
         look, places, n_chunks = self.memo.__getitem__, [], []
         for text in texts:
-            chunks = _CUT.split(text) if _ODD.search(text) else text.replace(" ", "\0 ").split("\0")
+            chunks = _CUT.split(text) if "\0" in text or _ODD.search(text) else text.replace(" ", "\0 ").split("\0")
             places.append(np.fromiter(map(look, chunks), np.int64, len(chunks)))
             places.append(np.zeros(1, np.int64))
             n_chunks.append(len(chunks) + 1)
@@ -84,6 +122,9 @@ class Encoder:
         if not places:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         at = np.concatenate(places)
+        seen = np.bincount(at, minlength=len(self.memo) + 1)
+        seen[: len(self.hits)] += self.hits
+        self.hits = seen
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
@@ -101,7 +142,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def groups_of_chars(texts: list[str], most: int = 2_000_000):
+def groups_of_chars(texts: list[str], most: int = 1_000_000):
     """Ranges of texts of about most characters, one text at least."""
     lo = size = 0
     for k, t in enumerate(texts):
