@@ -50,4 +50,4 @@ def op10_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_token_files, op3_host_rules, op4_simhash_near_duplicates, op5_warc_archives, op6_line_runs, op7_best_fit_packing, op8_repeated_substrings, op9_secret_scan, op10_benchmark_items)}
-ORACLE_SQL: dict[str, str] = {"op3_host_rules": host_rules.ORACLE_SQL, "op6_line_runs": lines.ORACLE_SQL, "op10_benchmark_items": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_host_rules": host_rules.ORACLE_SQL, "op5_warc_archives": warc.ORACLE_SQL, "op6_line_runs": lines.ORACLE_SQL, "op8_repeated_substrings": substrings.ORACLE_SQL, "op10_benchmark_items": decontaminate.ORACLE_SQL}

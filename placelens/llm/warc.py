@@ -213,3 +213,16 @@ def digest(pages: DataFrame, out_dir: str) -> DataFrame:
     """Write pages, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     manifest = write_archives(pages, out_dir)
     return read_archives(pages.sparkSession, out_dir, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, octet_length(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, k // 4 * 5 + 1, 5) AS BIGINT) >> (15 - k % 4 * 5)) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to
+FROM d
+"""
