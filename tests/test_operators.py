@@ -196,3 +196,27 @@ def test_html_fields():
     assert (f["title"], f["heading"], f["email"], f["phone"], f["postcode"], f["n_links"]) == ("Oak - Portal", "Oak", "a@b.c", "01", "AB1 2CD", 2)
     assert html.decode_email("42" + bytes(b ^ 0x42 for b in b"x@y.z").hex()) == "x@y.z"
     assert html.fields(None)["pairs"] == {}
+
+
+def test_grid_projection(spark):
+    import numpy as np
+
+    from placelens.functions import projection
+
+    lat, lon = projection.to_airy(np.array([651409.903]), np.array([313177.270]))
+    assert np.degrees(lat[0]) == pytest.approx(52 + 39 / 60 + 27.2531 / 3600, abs=1e-7)
+    assert np.degrees(lon[0]) == pytest.approx(1 + 43 / 60 + 4.5177 / 3600, abs=1e-7)
+    got = spark.createDataFrame([(530047, 180422), (None, 1)], "e int, n int").select(projection.grid_to_degrees(F.col("e"), F.col("n")).alias("p")).collect()
+    assert (got[0].p.lat, got[0].p.lon) == (pytest.approx(51.5078, abs=2e-3), pytest.approx(-0.1279, abs=2e-3)) and got[1].p is None
+
+
+def test_postcode_documents(spark):
+    import json
+
+    from placelens.operators import postcodes
+
+    rows = spark.createDataFrame([("AB1 2CD", 51.0, -1.0, "E06", "E10", 1), ("AB1 3EF", 51.1, -1.1, "E07", "E99999999", 1), ("AB1 9ZZ", None, None, "E06", "E10", 9)], "postcode string, lat double, lon double, lad string, county string, quality int")
+    boxes = spark.createDataFrame([("AB1 2CD", 50.9, -1.2, 51.2, -0.9)], "postcode string, south double, west double, north double, east double")
+    doc = postcodes.postcode_documents(postcodes.postcode_rows(rows, boxes)).collect()
+    assert [r.outward for r in doc] == ["AB1"]
+    assert json.loads(doc[0].doc) == {"_": ["E06", "E07", "E10"], "2CD": {"b": [-1.2, 50.9, -0.9, 51.2], "c": [-1.0, 51.0], "a": [0, 2]}, "3EF": {"b": [-1.102, 51.098, -1.098, 51.102], "c": [-1.1, 51.1], "a": [1]}}
