@@ -29,7 +29,8 @@ def matches_mask(mask: int, column: str = "care_type") -> Column:
 def _hits(providers: DataFrame, queries: DataFrame, rect: tuple, limit: int) -> DataFrame:
     """Both populations of each query, nearest first, cut at limit, with whether they had more."""
     joined = providers.join(F.broadcast(queries), geo.overlaps(extent(), rect))
-    located = joined.withColumn("is_box", F.col("bbox_south").isNotNull()).withColumn("km", distance_km((F.col("q_lat"), F.col("q_lon"))))
+    one = joined.dropDuplicates(["query_id", "provider_id"])  # hits only are shuffled, not all providers
+    located = one.withColumn("is_box", F.col("bbox_south").isNotNull()).withColumn("km", distance_km((F.col("q_lat"), F.col("q_lon"))))
     w = Window.partitionBy("query_id", "is_box")
     return located.withColumn("rank", F.row_number().over(w.orderBy("km", "provider_id"))).withColumn("more", F.count("*").over(w) > limit).where(F.col("rank") <= limit)
 
@@ -45,7 +46,7 @@ def spatial_search(providers: DataFrame, queries: DataFrame, limit: int = 500, i
     """
     if queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries; search them in blocks")
-    own = providers.where(matches_mask(mask)).where("lat is not null or bbox_south is not null").dropDuplicates(["provider_id"])
+    own = providers.where(matches_mask(mask)).where("lat is not null or bbox_south is not null").select("provider_id", "lat", "lon", *BOX)
     view = tuple(F.col(c) for c in ("south", "west", "north", "east"))
     wide = _hits(own, queries, geo.inflate(*view, inflation), limit)
     last = wide.where("not is_box and more").groupBy("query_id").agg(F.max("km").alias("radius"))
