@@ -42,7 +42,7 @@ FROM nation"""
 
 
 def from_sql(spark: SparkSession, sf_dir: str, sql: str, source: str) -> DataFrame:
-    return spark.sql(sql.replace(f"FROM {source}", f"FROM parquet.`{sf_dir}/{source}.parquet`"))
+    return spark.sql(sql.replace(f"FROM {source}", "FROM {rows}"), rows=table(spark, sf_dir, source))
 
 
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from placelens.functions import numbers, parse, text
 from placelens.functions.similarity import similarity
 from placelens.operators import linkage
-from placelens.plans.base import table
+from placelens.plans.base import from_sql, table
 from placelens.plans.registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -24,7 +24,7 @@ _CONTACTS_SQL = """SELECT c_custkey AS id,
 
 
 def _made(spark, d, sql):
-    return spark.sql(sql.replace("FROM customer", f"FROM parquet.`{d}/customer.parquet`").replace("''", "\\'").replace("AS VARCHAR", "AS STRING"))
+    return from_sql(spark, d, sql.replace("''", "\\'").replace("AS VARCHAR", "AS STRING"), "customer")
 
 
 def _nested(patterns: list[tuple[str, str]], start: str) -> str:
