@@ -13,6 +13,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 WHITE = b" \t\n\r\x0b\x0c"
+_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh path under spark.checkpoint.dir, which every executor sees.
 
     Only where that setting is missing, as in local tests, a local folder
-    takes its place and is written into the session's setting.
+    takes its place, one for each application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="placelens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="placelens-")
+        root = _LOCAL[app]
     return f"{root.rstrip('/')}/placelens-{uuid.uuid4().hex}"
 
 
