@@ -39,6 +39,8 @@ _SENT = "bucket int, ids binary, hs binary, counts binary, keys binary, pos bina
 _FLAGS = "doc_id long, h long, pos binary"
 _SENT_SCHEMA = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("ids", "hs", "counts", "keys", "pos"))])
 _FLAGS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("pos", pa.binary())])
+_DEALT = "slice int, ids binary, hs binary, counts binary, pos binary"
+_DEALT_SCHEMA = pa.schema([("slice", pa.int32()), *((k, pa.binary()) for k in ("ids", "hs", "counts", "pos"))])
 
 
 def cover(length: int) -> tuple[int, np.ndarray]:
@@ -199,8 +201,8 @@ def _strings(length: int, buckets: int, block: tuple[int, int]):
     return run
 
 
-def _decide(every: bool):
-    """Sort one bucket at a time and flag repeated keys, all or all but the first of each."""
+def _decide(every: bool, slices: int):
+    """Sort one bucket at a time and flag repeated keys, all or all but the first of each; flags go out packed by slices of the documents."""
     width = 5 if every else 8
 
     def bucket(rows):
@@ -235,19 +237,29 @@ def _decide(every: bool):
         return ids[own], hs[own], counts, pos[order]
 
     def out(ids, hs, counts, pos):
-        ends = np.cumsum(counts)
-        raw = pos.astype("<u4").tobytes()
-        return common.batch(_FLAGS_SCHEMA, ids, hs, [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)])
+        name = ((ids.view(_U) ^ hs.view(_U)) * _U(0x9E3779B97F4A7C15) >> _U(33)) % _U(slices)
+        order = np.argsort(name, kind="stable")
+        pos = pos[np.repeat((np.cumsum(counts) - counts)[order], counts[order]) + _spread(counts[order])]
+        ids, hs, counts, name = ids[order], hs[order], counts[order], name[order]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        own, n = _grouped(name)
+        cuts = np.concatenate([[0], np.cumsum(n)])
+        rows = [(int(x), ids[a:b].tobytes(), hs[a:b].tobytes(), counts[a:b].astype("<u4").tobytes(), pos[ends[a] : ends[b]].astype("<u4").tobytes()) for x, a, b in zip(own, cuts, cuts[1:], strict=False)]
+        return common.batch(_DEALT_SCHEMA, *map(list, zip(*rows, strict=True)))
 
     def run(batches):
-        held, name = [], None
+        held, name, past, size = [], None, [], 0
         for b in batches:
             names = b.column(0).to_pylist()
             columns = [b.column(k) for k in range(1, 6)]
             for k, x in enumerate(names):
                 row = [c[k].as_py() for c in columns]
                 if x < 0:
-                    yield out(np.frombuffer(row[0], "<i8"), np.frombuffer(row[1], "<i8"), np.frombuffer(row[2], "<u4").astype(np.int64), np.frombuffer(row[4], "<u4"))
+                    past.append(_unpacked(row[0], row[1], row[2], row[4]))
+                    size += len(past[-1][3])
+                    if size > 2_000_000:
+                        yield out(*map(np.concatenate, zip(*past, strict=True)))
+                        past, size = [], 0
                     continue
                 if x != name and held:
                     if found := bucket(held):
@@ -255,16 +267,49 @@ def _decide(every: bool):
                     held = []
                 name = x
                 held.append(row)
+        if past:
+            yield out(*map(np.concatenate, zip(*past, strict=True)))
         if held and (found := bucket(held)):
             yield out(*found)
 
     return run
 
 
+def _unpacked(ids: bytes, hs: bytes, counts: bytes, pos: bytes) -> tuple[np.ndarray, ...]:
+    return np.frombuffer(ids, "<i8"), np.frombuffer(hs, "<i8"), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(pos, "<u4")
+
+
+def _by_document(batches):
+    """A row for each document of a slice; slices come whole, one after the other."""
+
+    def rows(held):
+        ids, hs, counts, pos = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((hs, ids))
+        pos = pos[np.repeat((np.cumsum(counts) - counts)[order], counts[order]) + _spread(counts[order])].tobytes()
+        ids, hs = ids[order], hs[order]
+        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])]))
+        ends = np.concatenate([[0], np.cumsum(counts[order])])[np.concatenate([first, [len(ids)]])].tolist()
+        return common.batch(_FLAGS_SCHEMA, ids[first], hs[first], [pos[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)])
+
+    held, name = [], None
+    for b in batches:
+        for k in range(b.num_rows):
+            x, *row = (c[k].as_py() for c in b.columns)
+            if x != name and held:
+                yield rows(held)
+                held = []
+            name = x
+            held.append(_unpacked(*row))
+    if held:
+        yield rows(held)
+
+
 def _pass(rows: DataFrame, send: Callable, buckets: int, every: bool) -> DataFrame:
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.mapInArrow(send, _SENT).repartition("bucket").sortWithinPartitions("bucket")
-    out = common.written(sent.mapInArrow(_decide(every), _FLAGS))
-    del sent
+    dealt = sent.mapInArrow(_decide(every, slices), _DEALT).repartition("slice").sortWithinPartitions("slice")
+    out = common.written(dealt.mapInArrow(_by_document, _FLAGS))
+    del sent, dealt
     common.release(rows.sparkSession)
     return out
 
@@ -317,3 +362,22 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 def digest(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), b AS (
+  SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 200 <= length(x) THEN md5(substr(x, 2 * i + 1, 200)) END AS w FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS i FROM t)
+), f AS (
+  SELECT doc_id, i, byte, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS later FROM b
+), g AS (
+  SELECT doc_id, i, byte, coalesce(max(CASE WHEN later THEN i END) OVER (PARTITION BY doc_id ORDER BY i) > i - 100, false) AS gone FROM f
+), r AS (
+  SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS first FROM g
+), s AS (
+  SELECT doc_id, count(*) AS n_bytes, count_if(gone) AS n_removed, count_if(first) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents LEFT JOIN s USING (doc_id)
+"""
