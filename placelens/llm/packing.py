@@ -16,6 +16,7 @@ are packed each on its own; other columns are left out.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 
@@ -72,19 +73,58 @@ def best_fit(histogram: dict[int, int], size: int) -> dict[tuple[int, ...], int]
     return dict(plan)
 
 
+def _pairs(pattern: tuple) -> dict[int, tuple[int, int]]:
+    """Two pieces of a bin for every sum that two of them have."""
+    ones = sorted(set(pattern))
+    out = {x + y: (y, x) for k, y in enumerate(ones) for x in ones[:k]}
+    return out | {2 * x: (x, x) for x in ones if pattern.count(x) > 1}
+
+
+def _bits(sums) -> int:
+    out = 0
+    for x in sums:
+        out |= 1 << x
+    return out
+
+
+def _above(sums: int, slack: int) -> int:
+    """The sums that exceed one of these by 1 to slack."""
+    out, reach = sums << 1, 1
+    while reach < slack:
+        step = min(reach, slack - reach)
+        out, reach = out | out << step, reach + step
+    return out
+
+
+class _Bin:
+    """A pattern as sets of bits: what it can give, singly or in twos, and what it can take in exchange."""
+
+    def __init__(self, pattern: tuple, size: int):
+        self.fill = sum(pattern)
+        self.slack = size - self.fill
+        self.pairs = _pairs(pattern)
+        self.give, self.give_two = _bits(set(pattern)), _bits(self.pairs)
+        self.take, self.take_two = _above(self.give | self.give_two | 1, self.slack), _above(self.give, self.slack)
+
+    def helped_by(self, b: _Bin) -> bool:
+        """Some exchange with b, which is no fuller, makes this bin fuller."""
+        return bool(self.take & b.give or self.take_two & b.give_two)
+
+
 def _exchange(a: tuple, b: tuple, slack: int) -> tuple[tuple, tuple] | None:
     """The exchange that fills the fuller bin a most, taking from b; None if none does."""
     best, found = 0, None
-    ones_a, ones_b = set(a), set(b)
-    pairs_a = {a[i] + a[j]: (a[i], a[j]) for i in range(len(a)) for j in range(i)} if len(a) <= 64 else {}
-    pairs_b = {b[i] + b[j]: (b[i], b[j]) for i in range(len(b)) for j in range(i)} if len(b) <= 64 else {}
-    options = [(y, (), (y,)) for y in ones_b]
-    options += [(y - x, (x,), (y,)) for y in ones_b for x in ones_a]
-    options += [(s - x, (x,), p) for s, p in pairs_b.items() for x in ones_a]
-    options += [(y - s, p, (y,)) for y in ones_b for s, p in pairs_a.items()]
-    for gain, out, into in options:
-        if best < gain <= slack:
-            best, found = gain, (out, into)
+    ones, pairs_a, pairs_b = set(a), _pairs(a), _pairs(b)
+    one_for = {0: (), **pairs_a, **{x: (x,) for x in ones}}
+    two_for = {x: (x,) for x in ones}
+    for outs, intos in ((one_for, {y: (y,) for y in set(b)}), (two_for, pairs_b)):
+        bits = _bits(outs)
+        for y, into in intos.items():
+            low = max(0, y - slack)
+            rest = bits >> low
+            out = low + (rest & -rest).bit_length() - 1  # the least that leaves room
+            if rest and best < y - out:
+                best, found = y - out, (outs[out], into)
     if not found:
         return None
     new_a, new_b = list(a), list(b)
@@ -97,45 +137,59 @@ def _exchange(a: tuple, b: tuple, slack: int) -> tuple[tuple, tuple] | None:
     return tuple(sorted(new_a, reverse=True)), tuple(sorted(new_b, reverse=True))
 
 
-def local_search(plan: dict[tuple[int, ...], int], size: int, max_exchanges: int = 4000, partners: int = 60) -> dict[tuple[int, ...], int]:
+def local_search(plan: dict[tuple[int, ...], int], size: int) -> dict[tuple[int, ...], int]:
     """Empty the least-filled bins into fuller ones, exchange by exchange.
 
     Each exchange raises the sum of squared fills, is applied to as many bins of
-    the two patterns as both have, and drops bins that it leaves empty. The search
-    ends at the lower bound, when no exchange helps, or after max_exchanges; it
-    changes how full the bins are and never which pieces there are.
+    the two patterns as both have (to half of the bins, within one pattern), and
+    drops bins that it leaves empty. A pattern is settled when no exchange with
+    any settled one or within itself helps; patterns that an exchange makes are
+    tried with all settled ones. The search ends at the lower bound or when all
+    are settled, so that no exchange helps; it changes how full the bins are and
+    never which pieces there are.
     """
     plan = dict(plan)
     total = sum(sum(p) * n for p, n in plan.items())
-    bound, bins, done, stuck = -(-total // size), sum(plan.values()), 0, set()
-    while bins > bound and done < max_exchanges:
-        under = sorted((p for p in plan if sum(p) < size), key=lambda p: (sum(p), p))
-        moved = False
-        for b in under:
-            if b in stuck:
-                continue
-            for a in [p for p in reversed(under) if p != b and sum(p) >= sum(b)][:partners]:
-                new = _exchange(a, b, size - sum(a))
-                if not new:
-                    continue
-                n = min(plan[a], plan[b])
-                for old in (a, b):
-                    plan[old] -= n
-                    if not plan[old]:
-                        del plan[old]
-                for made in new:
-                    if made:
-                        plan[made] = plan.get(made, 0) + n
-                    else:
-                        bins -= n
-                moved, done = True, done + 1
-                break
-            if moved:
-                stuck.clear() if not new[1] else None
-                break
-            stuck.add(b)
-        if not moved:
-            break
+    bound, bins = -(-total // size), sum(plan.values())
+    settled: dict[tuple, _Bin] = {}
+    open_ = [(sum(p), p) for p in plan if sum(p) < size] if bins > bound else []
+    heapq.heapify(open_)
+    while open_ and bins > bound:
+        _, p = heapq.heappop(open_)
+        if p not in plan or p in settled:
+            continue
+        own, pair = _Bin(p, size), None
+        if plan[p] > 1 and own.helped_by(own):
+            pair = (p, p)
+        fuller = [(x.fill, a) for a, x in settled.items() if x.fill >= own.fill and x.helped_by(own)]
+        if fuller:
+            pair = (max(fuller)[1], p)
+        if not pair:
+            emptier = [(x.fill, b) for b, x in settled.items() if x.fill <= own.fill and own.helped_by(x)]
+            if emptier:
+                pair = (p, min(emptier)[1])
+        if not pair:
+            settled[p] = own
+            continue
+        a, b = pair
+        n = plan[a] // 2 if a == b else min(plan[a], plan[b])
+        new = _exchange(a, b, size - sum(a))
+        for old in pair:
+            plan[old] -= n
+        for old in {a, b}:
+            if not plan[old]:
+                del plan[old]
+                settled.pop(old, None)
+        for made in new:
+            if made:
+                plan[made] = plan.get(made, 0) + n
+                if plan[made] > n:
+                    settled.pop(made, None)  # now a bin of it may help another
+            else:
+                bins -= n
+        for made in {p, *new}:
+            if made in plan and sum(made) < size:
+                heapq.heappush(open_, (sum(made), made))
     return plan
 
 
@@ -177,7 +231,7 @@ def _cut(path: str, size: int):
     return run
 
 
-def pack(docs: DataFrame, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_exchanges: int = 4000) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     The first piece of a cut document takes what is left over by whole sequences.
@@ -188,7 +242,7 @@ def pack(docs: DataFrame, size: int = 2048, id_col: str = "doc_id", text_col: st
     counts = pieces.groupBy("chunk", "length").agg((F.max("k") + 1).alias("n"))
     counts = common.written(counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
-    table = slots(local_search(best_fit(histogram, size), size, max_exchanges))
+    table = slots(local_search(best_fit(histogram, size), size))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(batches):
