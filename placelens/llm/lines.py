@@ -7,7 +7,9 @@ is missed. A position is keyed by its fingerprint with the hashes of the window'
 lines left and right of it, so that a frequent line in another context meets
 nothing. Of equal positions the first (by id, then place) stays. A match is
 extended both ways window by window, and the union of a text's later windows is
-deleted. A line of long_line words or more is a run by itself.
+deleted. A line of long_line words or more is a run by itself. With passages,
+so is every run of fewer than `window` lines that holds long_line words: all of
+its sizes are listed, so that the short line before or after a long one goes too.
 
 Positions meet in sums by key, never in pairs.
 
@@ -20,6 +22,8 @@ ordered by their texts' hash; columns of docs stay, whatever their names.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +40,7 @@ def _held_lines(text: str) -> tuple[list[bytes], list[int]]:
     return lines, [k for k, x in enumerate(lines) if x.strip()]
 
 
-def windows(text: str, window: int, long_line: int) -> list[tuple[int, bytes, int, int]]:
+def windows(text: str, window: int, long_line: int, passages: bool = False) -> list[tuple[int, bytes, int, int]]:
     """(fingerprint, hash of the lines around it, first line, lines), counted over lines with a word."""
     import xxhash
 
@@ -50,15 +54,21 @@ def windows(text: str, window: int, long_line: int) -> list[tuple[int, bytes, in
     for s, k in enumerate(held):
         if len(lines[k]) >= 2 * long_line - 1 and len(lines[k].split()) >= long_line:
             out.append((heads[s], xxhash.xxh3_128_digest(b"one" + digests[s]), s, 1))
+    if passages and len(held) > 1 and len(text) >= 2 * long_line - 1:
+        words = [0, *accumulate(len(lines[k].split()) for k in held)]
+        for size in range(2, window):
+            for s in range(len(held) - size + 1):
+                if words[s + size] - words[s] >= long_line:
+                    out.append((heads[s], xxhash.xxh3_128_digest(b"run" + b"".join(digests[s : s + size])), s, size))
     return out
 
 
-def _positions(window: int, long_line: int):
+def _positions(window: int, long_line: int, passages: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fingerprint", pa.int64()), ("context", pa.binary()), ("start", pa.int32()), ("size", pa.int32())])
 
     def run(batches):
         for b in batches:
-            rows = [(i, h, *x) for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for x in windows(t, window, long_line)]
+            rows = [(i, h, *x) for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for x in windows(t, window, long_line, passages)]
             if rows:
                 yield common.batch(schema, *map(list, zip(*rows, strict=True)))
 
@@ -82,11 +92,11 @@ def delete_runs(text: str, later: list[tuple[int, int]]) -> tuple[str, int, int,
     return b"\n".join(x for x, d in zip(lines, drop, strict=True) if not d).decode("utf-8", "replace"), len(held), int(gone.sum()), runs
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, window: int, long_line: int) -> tuple[DataFrame, str, str]:
+def _joined(docs: DataFrame, id_col: str, text_col: str, window: int, long_line: int, passages: bool) -> tuple[DataFrame, str, str]:
     """docs with a helper column of later windows (starts and sizes in turn), and that column's name."""
     names = common.hidden(docs, "h", "later", "id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    found = common.written(rows.where("doc_id is not null and text is not null").mapInArrow(_positions(window, long_line), _POSITIONS))
+    found = common.written(rows.where("doc_id is not null and text is not null").mapInArrow(_positions(window, long_line, passages), _POSITIONS))
     place = F.struct("doc_id", "h", "start")
     first = found.groupBy("fingerprint", "context", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     later = found.join(first, ["fingerprint", "context", "size"]).where(place > F.col("first"))
@@ -100,9 +110,9 @@ def _pairs(flat: list[int] | None) -> list[tuple[int, int]]:
     return list(zip(flat[::2], flat[1::2], strict=True)) if flat else []
 
 
-def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, long_line: int = 50) -> DataFrame:
+def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, long_line: int = 50, passages: bool = False) -> DataFrame:
     """docs, with its columns, whose texts have lost the later repeated runs."""
-    rows, later, _ = _joined(docs, id_col, text_col, window, long_line)
+    rows, later, _ = _joined(docs, id_col, text_col, window, long_line, passages)
     at, extra, names = docs.columns.index(text_col), len(docs.columns), docs.columns
 
     def run(batches):
@@ -115,10 +125,10 @@ def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, docs.schema)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, long_line: int = 50) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, long_line: int = 50, passages: bool = False) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_removed, n_runs, kept_sha256 (of the text that stays; null as empty)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows, _, _ = _joined(own, "doc_id", "text", window, long_line)
+    rows, _, _ = _joined(own, "doc_id", "text", window, long_line, passages)
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept", pa.string())])
 
     def run(batches):
