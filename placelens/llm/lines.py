@@ -5,9 +5,9 @@ lines the least hash is the window's fingerprint, so any two texts that share a
 run of that many lines share its windows' fingerprints at the same lines: none
 is missed. A position is keyed by its fingerprint with the hashes of the window's
 lines left and right of it, so that a frequent line in another context meets
-nothing. Of equal positions the first (by id, then place) stays. A match is
-extended both ways window by window, and the union of a text's later windows is
-deleted. A line of long_line words or more is a run by itself. With passages,
+nothing. Every window is listed, so nothing is selected and no match has to be
+extended. Of equal positions the first (by id, then place) stays, and the union
+of a text's later windows is deleted. A line of long_line words or more is a run by itself. With passages,
 so is every run of fewer than `window` lines that holds long_line words: all of
 its sizes are listed, so that the short line before or after a long one goes too.
 
