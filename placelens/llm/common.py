@@ -69,13 +69,20 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def put_file(uri: str, data: bytes) -> None:
-    """Write a whole file under another name, then move it: a task that runs twice leaves one whole file."""
+    """Write a whole file under another name, then move it.
+
+    A task that runs twice finds the whole file of the first run, which holds the
+    same bytes, and leaves it: no file system has to replace a name.
+    """
     files, path = open_fs(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with files.open_output_stream(part) as out:
         out.write(data)
-    files.move(part, path)
+    if files.get_file_info(path).type == pafs.FileType.NotFound:
+        files.move(part, path)
+    else:
+        files.delete_file(part)
 
 
 def get_range(uri: str, start: int, length: int | None = None) -> bytes:

@@ -68,6 +68,7 @@ def _tokenize(path: str, file_tokens: int):
 
 
 def _count(batches):
+    tokens.forget()
     counts = np.zeros(0, np.int64)
     for b in batches:
         for data in b.column(0).to_pylist():
@@ -102,7 +103,7 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(parts[1], "<i8"), np.frombuffer(parts[2], "<i8"), np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
 
-def write_token_files(docs: DataFrame, out_dir: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_bits: int = 16, file_tokens: int = 2_000_000, block_tokens: int = 1 << 16) -> DataFrame:
+def write_token_files(docs: DataFrame, out_dir: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_bits: int = 16, file_tokens: int = 1_000_000, block_tokens: int = 1 << 16) -> DataFrame:
     """Write files into out_dir, which all executors must reach; return (file, part, seq, n_docs, n_tokens).
 
     The driver gets one count for each id of the vocabulary, whose size is the
@@ -112,7 +113,6 @@ def write_token_files(docs: DataFrame, out_dir: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     where = common.shared_dir(spark)
     rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_tokenize(path, file_tokens), _GROUPS).write.option("compression", "zstd").parquet(where)
-    common.release(spark)
     groups = spark.read.schema(_GROUPS).parquet(where)
     counted = groups.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
@@ -121,6 +121,7 @@ def write_token_files(docs: DataFrame, out_dir: str, id_col: str = "doc_id", tex
     names = pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def put(batches):
+        tokens.forget()
         codec = huffman.Codec(np.frombuffer(lengths, np.uint8))
         for b in batches:
             for k in range(b.num_rows):
@@ -134,11 +135,11 @@ def write_token_files(docs: DataFrame, out_dir: str, id_col: str = "doc_id", tex
     return manifest
 
 
-def file_starts(manifest: DataFrame) -> DataFrame:
-    """(part, seq, base): tokens in all files before. Only one row for each part meets in one task."""
-    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+def file_starts(files: DataFrame) -> DataFrame:
+    """(part, seq, base) of files (part, seq, n_tokens): tokens in all files before. Only one row for each part meets in one task."""
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))
-    within = manifest.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("own_base"))
+    within = files.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("own_base"))
     return within.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("own_base")).alias("base"))
 
 
@@ -147,6 +148,7 @@ def read_token_files(spark: SparkSession, out_dir: str, manifest: DataFrame) ->
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("place", pa.int64()), ("ids", pa.binary())])
 
     def get(batches):
+        tokens.forget()
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 part, seq = (int(x) for x in path.rpartition("/")[2].partition(".")[0].split("-"))
@@ -165,7 +167,8 @@ def read_token_files(spark: SparkSession, out_dir: str, manifest: DataFrame) ->
 
 
 def digest(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32."""
     rows = read_token_files(spark, out_dir, manifest)
-    rows = rows.select("doc_id", "part", "seq", "place", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return rows.join(file_starts(manifest), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    rows = common.written(rows.select("doc_id", "part", "seq", "place", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")))
+    starts = file_starts(rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n_tokens")))
+    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -34,17 +35,17 @@ class _Memo(dict):
 class Encoder:
     """encode(texts) -> (ids of all texts with an end id after each, tokens per text).
 
-    Special tokens' strings count as ordinary text. Beyond max_chunks chunks or
-    max_chars characters the memo keeps those that came up again, the most
-    frequent first, up to half as many.
+    Ids are the library's with add_special_tokens=False: the string of a special
+    token in a text becomes that token. Beyond max_chunks chunks or max_chars
+    characters the memo keeps those that came up again, the most frequent first,
+    up to half as many.
     """
 
-    def __init__(self, path: str, max_chunks: int = 400_000, max_chars: int = 8_000_000):
+    def __init__(self, path: str, max_chunks: int = 300_000, max_chars: int = 6_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.model._resize_cache(0)  # the memo stands in for it
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
@@ -142,6 +143,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Free this worker's encoders, for tasks that need memory and no tokenizer."""
+    _ENCODERS.clear()
+    gc.collect()
+
+
 def groups_of_chars(texts: list[str], most: int = 1_000_000):
     """Ranges of texts of about most characters, one text at least."""
     lo = size = 0

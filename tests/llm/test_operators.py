@@ -45,11 +45,18 @@ def _rows(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
+def _library():
+    """The tokenizer as the library makes it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_path())
+
+
 def test_token_files(spark, docs, empty):
     out = common.shared_dir(spark)
     manifest = token_files.write_token_files(docs, out, file_tokens=500, block_tokens=200)
     got = _rows(token_files.digest(spark, out, manifest))
-    enc, start = tokens.Encoder(tokens.default_path()).tokenizer, 0
+    enc, start = _library(), 0
     for k, t in enumerate(_texts()):
         ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         assert tuple(got[k]) == (k, start, len(ids), zlib.crc32(ids.tobytes()))
@@ -59,10 +66,24 @@ def test_token_files(spark, docs, empty):
 
 
 def test_token_memo_shrinks():
-    small, texts = tokens.Encoder(tokens.default_path(), max_chunks=30, max_chars=400), [t or "" for t in _texts()]
+    small, texts, enc = tokens.Encoder(tokens.default_path(), max_chunks=30, max_chars=400), [t or "" for t in _texts()], _library()
     for _ in range(2):
         for t in texts:
-            assert small.encode([t])[0].tolist() == [*small.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+            assert small.encode([t])[0].tolist() == [*enc.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_special_token_strings():
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>\n<|endoftext|> <|endof text|>", "<|endoftext|>" * 3 + " é <|endoftext|>é", " <|endoftext|> <|endoftext|>"]
+    enc, ours = _library(), tokens.Encoder(tokens.default_path())
+    assert ours.encode(texts[:1])[0].tolist() == [87, 220, 50256, 331, 0]
+    for _ in range(2):
+        assert ours.encode(texts)[0].tolist() == [i for t in texts for i in (*enc.encode(t, add_special_tokens=False).ids, 0)]
+
+
+def test_put_file_twice(tmp_path):
+    for _ in range(2):
+        common.put_file(f"file://{tmp_path}/a/b", b"data")
+    assert [p.name for p in (tmp_path / "a").iterdir()] == ["b"] and common.get_range(f"file://{tmp_path}/a/b", 1, 2) == b"at"
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 1000])
@@ -226,7 +247,7 @@ def test_line_runs(docs, empty):
 
 def test_packing(docs, empty):
     rows = packing.pack(docs, size=64).collect()
-    enc, bins = tokens.Encoder(tokens.default_path()).tokenizer, {}
+    enc, bins = _library(), {}
     for k, t in enumerate(_texts()):
         ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece)
