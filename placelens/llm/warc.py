@@ -9,12 +9,17 @@ range where a record's header parses, with the place where the next record must
 start; a payload may hold the magic itself, so these are candidates. Chains
 inside a range are resolved there; between ranges, pointer jumping from the
 start of the file doubles the reach each round. Candidates that no chain from
-the start reaches are dropped.
+the start reaches are dropped before any payload is read or digested.
+
+A response's block is an HTTP head and the payload; payload_bytes and digests
+are of the payload. Every record has the fields that the format demands.
 
 Cases: a null payload counts as empty; a null URL leaves its header line out; a
 null id is written as its own record without an id, keeps what it is, and never
 is a response others refer to; empty tables give no archive and no rows; white
-space in a URL is percent-encoded, so that it cannot end the header.
+space in a URL is percent-encoded, so that it cannot end the header. Rows equal
+in id and payload are alike: all are responses or all revisits; rows with an
+equal id and another payload are pages of their own.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,20 +47,27 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _digest(column: str) -> Column:
+    return F.unhex(F.sha1(F.encode(column, "UTF-8")))
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "2000-01-01T00:00:00Z") -> bytes:
+    """A whole record; a page without an id is named by its URL and digest."""
     digest = digest32(payload)
-    kind = "response" if refers_to is None else "revisit"
-    lines = [f"WARC-Type: {kind}", "Content-Type: text/html"]
+    name = f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {digest}')}>"
+    lines = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response"]
     if page_id is not None:
-        lines += [f"WARC-Record-ID: <urn:page:{page_id}>", f"X-Page-ID: {page_id}"]
+        lines.append(f"X-Page-ID: {page_id}")
     if url:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
-    if refers_to is not None:
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if refers_to is None:
+        block += payload
+    else:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
-        payload = b""
-    lines.append(f"Content-Length: {len(payload)}")
-    return MAGIC + "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    lines.append(f"Content-Length: {len(block)}")
+    return MAGIC + "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
@@ -76,17 +89,18 @@ def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
 
 
 def revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the revisit records; pages: (page_id, payload)."""
-    keyed = pages.where("page_id is not null").select("page_id", F.sha1(F.encode("payload", "UTF-8")).alias("d"), F.octet_length("payload").alias("n")).where(F.col("n") >= min_revisit_bytes)
-    keyed = common.written(keyed.select("page_id", F.unhex("d").alias("d")))
+    """(page_id, d, refers_to) of the revisit records, d the payload's digest; pages: (page_id, payload)."""
+    keyed = pages.where("page_id is not null").select("page_id", _digest("payload").alias("d"), F.octet_length("payload").alias("n")).where(F.col("n") >= min_revisit_bytes)
+    keyed = common.written(keyed.select("page_id", "d").distinct())
     largest = keyed.groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("d", "refers_to")
-    return keyed.join(largest, "d").where("page_id <> refers_to").select("page_id", "refers_to")
+    return keyed.join(largest, "d").where("page_id <> refers_to").select("page_id", "d", "refers_to")
 
 
 def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = 64 << 20, max_broadcast_rows: int = 200_000) -> DataFrame:
     """Write archives of about file_bytes each into out_dir, which all executors must reach; return (file, size, records).
 
-    Payloads are shuffled only if there are over max_broadcast_rows revisits.
+    Payloads are shuffled only if there are over max_broadcast_rows revisits;
+    up to then their ids and digests, 50 bytes each, are broadcast.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     again = common.written(revisits(rows, min_revisit_bytes))
@@ -113,7 +127,8 @@ def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_
         if held:
             yield out()
 
-    return common.written(rows.join(again, "page_id", "left").select("page_id", "url", "payload", "refers_to").mapInArrow(run, _MANIFEST))
+    ours = F.when(F.col("page_id").isNotNull(), _digest("payload")).alias("d")
+    return common.written(rows.select("*", ours).join(again, ["page_id", "d"], "left").select("page_id", "url", "payload", "refers_to").mapInArrow(run, _MANIFEST))
 
 
 def local_chain(offsets: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +145,10 @@ def local_chain(offsets: np.ndarray, following: np.ndarray) -> tuple[np.ndarray,
 
 
 def _scan(out_dir: str, range_bytes: int):
-    schema = pa.schema([("file", pa.string()), ("range", pa.int64()), ("at", pa.int64()), ("next", pa.int64()), ("leaves", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64())])
+    """Candidates of a range: where each starts, where the next record must start, and what the header says."""
+    schema = pa.schema([("file", pa.string()), ("range", pa.int64()), ("at", pa.int64()), ("next", pa.int64()), ("leaves", pa.int64()), ("body", pa.int64()), ("said", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("page_id", pa.int64()), ("refers_to", pa.int64())])
     number = re.compile(r"<urn:page:(-?\d+)>")
+    whole = lambda x: int(x) if x and x.removeprefix("-").isdigit() else None
 
     def run(batches):
         for b in batches:
@@ -146,13 +163,8 @@ def _scan(out_dir: str, range_bytes: int):
                     parsed = parse_header(data, at)
                     if parsed:
                         fields, body = parsed
-                        n = int(fields["content-length"])
-                        payload = data[body : body + n] if body + n <= len(data) else common.get_range(uri, start + body, n)
-                        named, refers = fields.get("x-page-id"), number.search(fields.get("warc-refers-to", ""))
-                        revisit = fields["warc-type"] == "revisit"
-                        size = int(fields.get("x-payload-length", n)) if revisit else n
-                        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest32(payload)
-                        rows.append((start + at, start + body + n + 4, size, digest, fields["warc-type"], int(named) if named else None, int(refers[1]) if refers else None))
+                        n, refers = int(fields["content-length"]), number.search(fields.get("warc-refers-to", ""))
+                        rows.append((start + at, start + body + n + 4, start + body, fields.get("warc-payload-digest", "").removeprefix("sha1:"), fields["warc-type"], whole(fields.get("x-payload-length")), whole(fields.get("x-page-id")), int(refers[1]) if refers else None))
                     at = data.find(MAGIC, at + 1)
                 if rows:
                     offsets, following, *rest = map(list, zip(*rows, strict=True))
@@ -162,35 +174,54 @@ def _scan(out_dir: str, range_bytes: int):
     return run
 
 
-def _mark(batches):
-    """Of one range's candidates, those on the chain that enters it. Ranges come whole and sorted."""
-    held = None
+def payload_of(block: bytes) -> bytes:
+    """What follows the HTTP head of a record's block, or all of it without one."""
+    return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+
+
+def _mark(out_dir: str, range_bytes: int):
+    """Of one range's candidates, those on the chain that enters it, with their payloads' sizes and digests. Ranges come whole and sorted."""
+    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64())])
 
     def marked(t):
         offsets, following = t["at"].to_numpy(), t["next"].to_numpy()
         to, _ = local_chain(offsets, following)
-        on, k = np.zeros(len(offsets), bool), int(np.searchsorted(offsets, t["enter"][0].as_py()))
+        k, chain = int(np.searchsorted(offsets, t["enter"][0].as_py())), []
         while k >= 0:
-            on[k] = True
-            k = to[k]
-        return t.filter(pa.array(on)).drop_columns(["range", "next", "leaves", "enter"])
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        names, ranges = held["file"].to_pylist(), held["range"].to_numpy()
-        cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1] or ranges[k] != ranges[k - 1])]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            yield from marked(held.slice(lo, hi - lo).combine_chunks()).to_batches()
-        held = held.slice(cuts[-1])
-    if held is not None and len(held):
-        yield from marked(held.combine_chunks()).to_batches()
+            chain.append(k)
+            k = int(to[k])
+        own = t.take(pa.array(chain)).to_pylist()
+        uri, base = f"{out_dir}/{own[0]['file']}", own[0]["range"] * range_bytes
+        data, rows = common.get_range(uri, base, range_bytes), []
+        for r in own:
+            size, digest = r["payload_bytes"], r["said"]
+            if r["record_type"] != "revisit":
+                lo, hi = r["body"] - base, r["next"] - 4 - base
+                payload = payload_of(data[lo:hi] if hi <= len(data) else common.get_range(uri, r["body"], hi - lo))
+                size, digest = len(payload), digest32(payload)
+            rows.append((r["file"], r["at"], size, digest, r["record_type"], r["page_id"], r["refers_to"]))
+        return common.batch(schema, *map(list, zip(*rows, strict=True)))
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            names, ranges = held["file"].to_pylist(), held["range"].to_numpy()
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1] or ranges[k] != ranges[k - 1])]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                yield marked(held.slice(lo, hi - lo).combine_chunks())
+            held = held.slice(cuts[-1])
+        if held is not None and len(held):
+            yield marked(held.combine_chunks())
+
+    return run
 
 
 def read_archives(spark: SparkSession, out_dir: str, manifest: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
     """Records reachable from the start of their files: file, at, payload_bytes, payload_digest, record_type, page_id, refers_to."""
     ranges = manifest.select("file", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes))).alias("start")).repartition("file", "start")
-    found = common.written(ranges.mapInArrow(_scan(out_dir, range_bytes), f"file string, range long, at long, next long, leaves long, {_FIELDS}"))
+    found = common.written(ranges.mapInArrow(_scan(out_dir, range_bytes), "file string, range long, at long, next long, leaves long, body long, said string, record_type string, payload_bytes long, page_id long, refers_to long"))
     # A place where a range may be entered, and where the chain from there leaves the range.
     jump = found.select("file", "at", F.col("leaves").alias("to"))
     reached = manifest.select("file", F.lit(0).cast("long").alias("at")).join(jump.select("file", "at"), ["file", "at"], "left_semi")
@@ -205,8 +236,8 @@ def read_archives(spark: SparkSession, out_dir: str, manifest: DataFrame, range_
         further = jump.select("file", F.col("at").alias("to"), F.col("to").alias("far"))
         jump = common.written(jump.join(further, ["file", "to"], "left").select("file", "at", F.coalesce("far", "to").alias("to")))
     enter = reached.withColumn("range", F.floor(F.col("at") / range_bytes)).groupBy("file", "range").agg(F.min("at").alias("enter"))
-    inside = found.join(enter, ["file", "range"]).select("file", "range", "at", "next", "leaves", *(f.split()[0] for f in _FIELDS.split(", ")), "enter")
-    return inside.repartition("file", "range").sortWithinPartitions("file", "range", "at").mapInArrow(_mark, f"file string, at long, {_FIELDS}")
+    inside = found.join(enter, ["file", "range"])
+    return inside.repartition("file", "range").sortWithinPartitions("file", "range", "at").mapInArrow(_mark(out_dir, range_bytes), f"file string, at long, {_FIELDS}")
 
 
 def digest(pages: DataFrame, out_dir: str) -> DataFrame:
