@@ -9,12 +9,15 @@ element that is dropped.
 
 Cases: a null or empty page has an empty text; a page without tags is one block;
 unclosed and misnested tags, tags cut off at the end, and unknown character
-references are taken as browsers do or left as they are; empty tables give empty
-results; other columns are left out.
+references are taken as browsers do or left as they are; a head without an end
+tag ends before the first tag or text that cannot be in one. White space is what
+str.split() takes for it, no-break spaces too. Empty tables give empty results;
+other columns are left out.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 
@@ -278,6 +281,12 @@ def truth(page: Page) -> np.ndarray:
     return labels
 
 
+@functools.lru_cache
+def trained() -> boosting.Trees:
+    """The default model, trained once in a process."""
+    return train()
+
+
 def train(pages: int = 500, seed: int = 7, **options) -> boosting.Trees:
     """Fit on `pages` made pages; the bound keeps training on the driver to seconds."""
     rng, xs, ys = random.Random(seed), [], []
@@ -300,7 +309,7 @@ def extract_text(pages: list[str | None], model: boosting.Trees) -> list[str]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: boosting.Trees | None = None) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    model = model or train()
+    model = model or trained()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = [rows.schema["page_id"].dataType.simpleString(), rows.schema["url"].dataType.simpleString()]
 
