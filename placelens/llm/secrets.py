@@ -31,7 +31,9 @@ WORDS = (
     "account action active address admin agent alert amount array async author average backup balance base batch before block body border buffer build bundle button cache call card center channel char check child class clean client clone close cluster code color column command comment common "
     "component config connect console content context control convert copy count create current cursor data date debug default delete depth detail device dialog direct disable display document domain download driver element email enable encode engine entry error event example export factory field file filter final "
     "first flag float folder format frame function global graph group handle header height history image import index info input insert instance integer internal item iterator label language last layer layout length level library limit line link list load local location logger login loop manager map master match "
-    "memory menu merge message method model module mouse name native network next node number object offset option order output owner package page panel parent parse partition path pattern payment person pixel player point policy port position prefix price process product profile project property public query queue random range"
+    "memory menu merge message method model module mouse name native network next node number object offset option order output owner package page panel parent parse partition path pattern payment person pixel player point policy port position prefix price process product profile project property public query queue random range "
+    "reader record region remote render report request reset resource response result return route row sample scale schema scope screen script search section select sender server service session setting shape share signal simple single size sort source space stack start state static status storage store stream string style submit "
+    "summary support switch symbol system table target task template test text theme thread time title token toggle tool total track tree trigger type unique unit update upload user utility valid value vector version video view virtual visible volume warning watch web week width window word worker wrapper write yaml year zone"
 )
 
 
@@ -75,18 +77,28 @@ def train(labelled: DataFrame) -> str:
 
 
 def score(s: Column, table: str) -> Column:
-    """Mean log-likelihood ratio of the steps of s; positive: more like random."""
+    """Mean log-likelihood ratio of the steps of s; positive: more like random. s is split into characters once."""
     ratios, a = F.from_json(F.lit(table), "array<double>"), len(ALPHABET)
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substr(s, i, F.lit(1))) - 1
-    total = F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ratios, at(i) * a + at(i + 1)))
-    return total / (F.length(s) - 1)
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    steps = _bound(codes, lambda k: F.zip_with(F.slice(k, 1, F.size(k) - 1), F.slice(k, 2, F.size(k) - 1), lambda x, y: F.get(ratios, x * a + y)))
+    return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) / (F.length(s) - 1)
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_BLOCK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Matches that keep(match, last group) holds for; positions are sums of what lies before."""
+    """Matches that keep(match, last group) holds for; positions are sums of what lies before.
+
+    Arrays grow within blocks of _BLOCK matches, whose lengths are then summed,
+    so that a text with many matches is not copied once for each of them.
+    """
     n_groups = 2 if kind == 0 else 0
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(n_groups)).alias("tail"))
 
@@ -97,7 +109,11 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
         return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & keep(x["hit"], x["tail"]), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
     none = F.array().cast(_SPAN)
-    all_of = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    block = lambda p, i: F.aggregate(F.slice(p, i, _BLOCK), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+    blocks = _bound(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(_BLOCK)), lambda i: block(p, i)))
+    before = lambda bs: F.aggregate(F.slice(bs, 1, F.size(bs) - 1), F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+    moved = lambda b, at: F.transform(b["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end")))
+    all_of = _bound(blocks, lambda bs: F.flatten(F.zip_with(bs, before(bs), moved)))
     return F.when(text.rlike(pattern), all_of).otherwise(none)
 
 

@@ -210,6 +210,45 @@ def test_warc(spark):
     assert warc.digest(df.limit(0), common.shared_dir(spark)).count() == 0
 
 
+def test_warc_repeated_rows(spark):
+    pages = [(1, "x"), (1, "x"), (3, "y"), (3, "z"), (2, "y"), (9, "y"), (9, "x"), (4, "z"), (None, "z")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")
+    for options in ({}, {"max_broadcast_rows": 0}):
+        out = common.shared_dir(spark)
+        got = warc.read_archives(spark, out, warc.write_archives(df, out, **options)).collect()
+        want = []
+        for i, h in pages:
+            last = max(j for j, x in pages if j is not None and x == h)
+            digest = base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+            want.append((i or 0, digest, "response" if i is None or last == i else "revisit", 0 if i is None or last == i else last))
+        assert sorted((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to or 0) for r in got) == sorted(want)
+
+
+def test_warc_record_fields():
+    for refers_to in (None, 7):
+        data = warc.record(None, "http://a", b"<p>", refers_to)
+        fields, body = warc.parse_header(data, 0)
+        assert {"warc-type", "warc-record-id", "warc-date", "content-length", "content-type"} <= set(fields)
+        block = data[body : body + int(fields["content-length"])]
+        assert block.startswith(b"HTTP/1.1 200 OK\r\n") and warc.payload_of(block) == (b"<p>" if refers_to is None else b"")
+        assert data[body + len(block) :] == b"\r\n\r\n"
+
+
+def test_warc_digests_only_reached_records(monkeypatch, tmp_path):
+    magic = warc.record(999, "http://x", b"inner", None)
+    data = warc.record(1, "u", magic * 50, None) + warc.record(2, "u", b"end", None)
+    common.put_file(f"file://{tmp_path}/a.warc", data)
+    digested, real = [], warc.digest32
+    monkeypatch.setattr(warc, "digest32", lambda p: digested.append(len(p)) or real(p))
+    import pyarrow as pa
+
+    (found,) = warc._scan(f"file://{tmp_path}", 1 << 20)([pa.record_batch([["a.warc"], [0]], names=["file", "start"])])
+    assert found.num_rows == 52 and not digested
+    t = pa.Table.from_batches([found]).append_column("enter", pa.array([0] * 52))
+    (out,) = warc._mark(f"file://{tmp_path}", 1 << 20)(t.to_batches())
+    assert out.column("page_id").to_pylist() == [1, 2] and digested == [len(magic) * 50, 3]
+
+
 def _later_lines(texts, window=3, long_line=50):
     seen, out = set(), []
     for t in texts:
@@ -314,6 +353,22 @@ def test_secrets(spark, docs, empty):
     assert secrets.report(empty).count() == 0
 
 
+def test_secrets_in_long_runs(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rng.choice(letters) for _ in range(1_000_000))
+    many = "é token=abcdef1 " * 1000 + "x"
+    df = spark.createDataFrame([(1, f"a {run} b"), (2, many)], "doc_id long, text string")
+    table = secrets.train(secrets.samples(spark))
+    import time
+
+    began = time.perf_counter()
+    got = _rows(secrets.report(df, table=table))
+    assert time.perf_counter() - began < 20
+    assert got[1].spans == "markov:2:1000002"
+    assert got[2].n_assign == 1000 and got[2].spans == ",".join(f"assign:{16 * k + 2}:{16 * k + 15}" for k in range(1000))
+
+
 def test_markov_model_on_held_out_samples(spark):
     from pyspark.sql import functions as F
 
@@ -366,8 +421,33 @@ def test_main_text(spark):
     assert by[2].text == by[3].text == "" and by[4].text == "plain text &am"
 
 
+def test_main_text_of_pages_without_end_tags():
+    model = main_text.trained()
+    long = "The river rose in the night, and by morning the lower fields were under water. " * 3
+    pages = [
+        f"<html><head><title>t</title><body><article><h1>Flood</h1><p>{long}<p>{long}</article>",
+        f"<title>t</title><meta charset=utf-8><article><h1>Flood</h1><p>{long}<p>{long}",
+        f"<head><title>t</title><style>p{{}}</style><article><h1>Flood</h1><p>{long}</p><p>{long}</p></article></body></html>",
+    ]
+    want = " ".join(["Flood", *[" ".join(long.split())] * 2])
+    assert main_text.extract_text(pages, model) == [want] * 3
+    assert main_text.extract_text(["<head>just text"], model) == ["just text"]
+
+
+def test_parser_walks_no_open_elements_in_vain():
+    import time
+
+    from placelens.llm import dom
+
+    began = time.perf_counter()
+    n = 8000
+    for page in ("<div>" * n + "</span></section></td>" * n, "<b>" * n + "<li>x" * n, "<div>" * n + "<li>x</li><tr>" * n):
+        assert len(dom.parse(page).tag) > n
+    assert time.perf_counter() - began < 5
+
+
 def test_main_text_on_held_out_pages():
-    model, rng, right, n = main_text.train(), random.Random(12345), 0, 0
+    model, rng, right, n = main_text.trained(), random.Random(12345), 0, 0
     for _ in range(60):
         page = main_text.Page(main_text._made(rng))
         want = main_text.truth(page) > 0
