@@ -4,8 +4,9 @@ Rules of a document: short, repetitive (these two are its base and always
 reject), symbols, duplicate lines, odd word lengths. Failures of each rule are
 summed by host; a beta prior is fitted to the hosts' rates by moments, and a
 host's rate is shrunk towards it: (failures + a) / (documents + a + b). A host
-whose shrunk rate is over host_limit in any rule is distrusted. The verdict is
-joined back: a document may fail `tolerance` of the rules beyond the base on a
+is distrusted if in any rule its shrunk rate is over host_limit or lies more
+than `spread` standard deviations of the prior above the prior's mean. The
+verdict is joined back: a document may fail `tolerance` of the rules beyond the base on a
 trusted host and none on a distrusted one. A document that fails no rule is
 kept wherever it is from.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -85,35 +86,44 @@ def failures(m: str) -> dict[str, str]:
     }
 
 
-def host_verdicts(measures: DataFrame, host_limit: float = 0.5) -> DataFrame:
+def host_verdicts(measures: DataFrame, host_limit: float = 0.5, spread: float = 1.0) -> DataFrame:
     """(host, trusted, and the shrunk rate of each rule) from measures(host, m)."""
     fails = failures("m")
     hosts = measures.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(F.expr(fails[r])).alias(r) for r in RULES))
     hosts = common.written(hosts)
     prior = hosts.agg(*(f(F.col(r) / F.col("n")).alias(f"{k}_{r}") for r in RULES for k, f in (("mean", F.avg), ("var", F.var_pop)))).first()
-    rates = {}
+    rates, trusted = {}, F.lit(True)
     for r in RULES:
         mean, var = prior[f"mean_{r}"] or 0.0, prior[f"var_{r}"] or 0.0
         strength = 1e6 if var <= 0 else min(1e6, max(1e-6, mean * (1 - mean) / var - 1))
         rates[r] = (F.col(r) + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.select("host", *(x.alias(f"rate_{r}") for r, x in rates.items()), (F.greatest(*rates.values()) <= host_limit).alias("trusted"))
+        trusted &= rates[r] <= min(host_limit, mean + spread * (mean * (1 - mean) / (strength + 1)) ** 0.5) + 1e-9
+    return hosts.select("host", *(x.alias(f"rate_{r}") for r, x in rates.items()), trusted.alias("trusted"))
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", host_limit: float = 0.5, tolerance: int = 1, max_broadcast_hosts: int = 100_000) -> tuple[DataFrame, str, str]:
-    """docs with two helper columns, whose names are returned: the measures (struct) and kept (boolean)."""
-    names = common.hidden(docs, "measures", "kept", "host", "base", "trusted")
+def _kept(m: str, trusted: str, tolerance: int) -> tuple[Column, Column, Column]:
+    """Base failure, failures beyond it, and the verdict, over the struct column m and the column trusted."""
+    fails = failures(f"`{m}`")
+    base = F.expr(f"({fails['short']}) or ({fails['repetitive']})")
+    soft = sum((F.expr(fails[r]).cast("int") for r in RULES[2:]), F.lit(0))
+    return base, soft, ~base & (soft <= F.when(F.col(trusted), tolerance).otherwise(0))
+
+
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", tolerance: int = 1, max_broadcast_hosts: int = 100_000, **limits) -> tuple[DataFrame, str, str]:
+    """docs with two helper columns, whose names are returned: the measures (struct) and kept (boolean).
+
+    Texts are measured once: rows are written with their measures, from which
+    the hosts' sums and then the verdicts are read.
+    """
+    names = common.hidden(docs, "measures", "kept", "host", "trusted")
     m, host = names["measures"], names["host"]
-    own = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    small = common.written(measured(own, "text", "m").select("host", "m"))
-    verdicts = common.written(host_verdicts(small, host_limit).select(F.col("host").alias(host), F.col("trusted").alias(names["trusted"])))
+    rows = common.written(measured(docs, text_col, m))
+    verdicts = host_verdicts(rows.select(F.col(host_col).alias("host"), F.col(m).alias("m")), **limits)
+    verdicts = common.written(verdicts.select(F.col("host").alias(host), F.col("trusted").alias(names["trusted"])))
     if verdicts.limit(max_broadcast_hosts + 1).count() <= max_broadcast_hosts:
         verdicts = F.broadcast(verdicts)
-    rows = measured(docs, text_col, m)
-    fails = failures(f"`{m}`")
-    soft = sum((F.expr(fails[r]).cast("int") for r in RULES[2:]), F.lit(0))
-    base = F.expr(f"({fails['short']}) or ({fails['repetitive']})")
     joined = rows.join(verdicts, rows[host_col].eqNullSafe(F.col(host)), "left")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), m, (~base & (soft <= F.when(F.col(names["trusted"]), tolerance).otherwise(0))).alias(names["kept"])), m, names["kept"]
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), m, _kept(m, names["trusted"], tolerance)[2].alias(names["kept"])), m, names["kept"]
 
 
 def passing(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
@@ -122,18 +132,15 @@ def passing(docs: DataFrame, host_col: str = "source", text_col: str = "text", *
     return rows.where(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
+def report(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", tolerance: int = 1, **limits) -> DataFrame:
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, trusted, n_soft_failed."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     small = common.written(measured(own, "text", "m").select("doc_id", "host", "m"))
-    options = {"host_limit": 0.5, "tolerance": 1} | options
-    verdicts = host_verdicts(small.select("host", "m"), options["host_limit"]).select(F.col("host").alias("h"), "trusted")
-    fails = failures("m")
-    soft = sum((F.expr(fails[r]).cast("int") for r in RULES[2:]), F.lit(0))
-    base = F.expr(f"({fails['short']}) or ({fails['repetitive']})")
+    verdicts = host_verdicts(small.select("host", "m"), **limits).select(F.col("host").alias("h"), "trusted")
     rows = small.join(verdicts, small.host.eqNullSafe(F.col("h")), "left")
     measures = [F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return rows.select("doc_id", *measures, base.alias("base_failed"), (~base & (soft <= F.when(F.col("trusted"), options["tolerance"]).otherwise(0))).alias("kept"), "trusted", soft.alias("n_soft_failed"))
+    base, soft, kept = _kept("m", "trusted", tolerance)
+    return rows.select("doc_id", *measures, base.alias("base_failed"), kept.alias("kept"), "trusted", soft.alias("n_soft_failed"))
 
 
 ORACLE_SQL = r"""
@@ -166,7 +173,7 @@ WITH d AS (
 ), s AS (
   SELECT k, mean, CASE WHEN var <= 0 THEN 1e6 ELSE least(1e6, greatest(1e-6, mean * (1 - mean) / var - 1)) END AS strength FROM p
 ), v AS (
-  SELECT source, max((c + mean * strength) / (n + strength)) <= 0.5 AS trusted FROM r JOIN s ON r.k = s.k GROUP BY 1
+  SELECT source, bool_and((c + mean * strength) / (n + strength) <= least(0.5, mean + sqrt(mean * (1 - mean) / (strength + 1))) + 1e-9) AS trusted FROM r JOIN s ON r.k = s.k GROUP BY 1
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
        NOT (f1 OR f2) AND CAST(f3 AS INT) + CAST(f4 AS INT) + CAST(f5 AS INT) <= CASE WHEN trusted THEN 1 ELSE 0 END AS kept,
