@@ -1,15 +1,21 @@
-"""Near-duplicates by SimHash with a byte-position inverted index.
+"""Near-duplicates by SimHash with a byte-position inverted index and a count filter.
 
 Two 64-bit fingerprints that differ in at most four bits agree in at least four
-of their eight bytes. Tallying shared positional bytes per pair from lists of
-single bytes would meet every pair 1/32 of the time, so the index lists
-fingerprints under each choice of `shared` byte positions with their bytes: a
-pair meets there if and only if its tally reaches the guaranteed minimum. Pairs
-that meet are verified by their bits. Equal fingerprints count once. Within a
-list only links to the least member of a local component are kept, never all
-pairs. A list longer than max_list is left to an exact way that emits no pairs:
-each member is put under all points within half the distance, and links to the
-least member at the same point.
+of their eight bytes: that is the guaranteed minimum of shared positional bytes.
+The index lists fingerprints under groups of (position, byte) keys. Lists of
+single keys would hold 1/256 of all fingerprints each, and tallying them would
+emit all pairs of such lists; so a list's name is three keys together, and the
+groups of positions are a covering: any four of the eight positions include one
+of the twenty groups, hence no pair with four shared bytes is missed. For each
+pair that meets in a list the shared positional bytes are tallied, pairs with
+fewer than the minimum are dropped, and the rest is verified by its bits. With
+over wide_index distinct fingerprints lists are named by four keys (all seventy
+groups), so that lists stay short; the links are the same.
+
+Equal fingerprints count once. Within a list only links to the least member of a
+local component are kept, never all pairs. A list longer than max_list is left
+to an exact way that emits no pairs: each member is put under all points within
+half the distance, and links to the least member at the same point.
 
 Cases: a null or empty text, or one without words, has fingerprint zero and
 links like any other; fewer words than a shingle give one shingle; a null id
@@ -19,6 +25,7 @@ ids count as one row each; other columns are left out.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -61,13 +68,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks(shared: int) -> list[int]:
-    return [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(8), shared)]
+def _groups(shared: int, wide: bool) -> list[tuple[int, ...]]:
+    """Groups of byte positions such that any `shared` of the eight include one.
+
+    For four: positions are dealt into three classes, and a group is three of one
+    class, or two of one and one of the next. Of four positions three are in one
+    class, or two are and the next or the one before it holds another.
+    """
+    if shared != 4 or wide:
+        return list(combinations(range(8), shared))
+    return [c for c in combinations(range(8), 3) if (kinds := Counter(p % 3 for p in c)) and (len(kinds) == 1 or any(n == 2 and kinds[(k + 1) % 3] == 1 for k, n in kinds.items()))]
+
+
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """Per difference x = a ^ b the tally of positional bytes that a and b share."""
+    low = _U(0x7F7F7F7F7F7F7F7F)
+    return 8 - np.bitwise_count(((x & low) + low | x) & ~low)
 
 
-def _listed(shared: int):
-    """(list, fp, id) under every choice of positions; the list's name holds the choice and a hash of its bytes."""
-    masks = np.array(_masks(shared), _U)
+def _listed(groups: list[tuple[int, ...]]):
+    """(list, fp, id) under every group of positions; the list's name holds the group and a hash of its bytes."""
+    masks = np.array([sum(0xFF << (8 * p) for p in chosen) for chosen in groups], _U)
     schema = pa.schema([("list", pa.int64()), ("fp", pa.int64()), ("id", pa.int64())])
 
     def run(batches):
@@ -75,7 +96,7 @@ def _listed(shared: int):
             fp, own = b.column("fp").to_numpy().view(_U), b.column("id").to_numpy()
             for c, mask in enumerate(masks):
                 key = (fp & mask) * _U(0x9E3779B97F4A7C15) + _U((c + 1) * 0xD6E8FEB86659FD93 % 2**64)
-                key = (key ^ key >> _U(32)) * _U(0xC2B2AE3D27D4EB4F)  # one to one for a choice
+                key = (key ^ key >> _U(32)) * _U(0xC2B2AE3D27D4EB4F)  # one to one for a group
                 yield common.batch(schema, (key ^ key >> _U(29)).view(np.int64), fp.view(np.int64), own)
 
     return run
@@ -96,7 +117,7 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _link(distance: int, max_list: int):
-    """Links within lists, which come sorted. kind 0: u links to v; kind 1: a member (list u, fp v) of a long list."""
+    """Links within lists, which come sorted: tally, count filter, verification. kind 0: u links to v; kind 1: a member (list u, fp v) of a long list."""
     schema = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("id", pa.int64())])
 
     def links(key, fp, own):
@@ -110,7 +131,9 @@ def _link(distance: int, max_list: int):
         a, b, at = [], [], np.arange(len(key))
         for lag in range(1, int(size.max())):
             at = at[left[at] >= lag]
-            near = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= distance]
+            x = fp[at] ^ fp[at + lag]
+            enough = shared_bytes(x) >= 8 - distance
+            near = at[enough][np.bitwise_count(x[enough]) <= distance]
             a.append(near)
             b.append(near + lag)
         root = _local_roots(len(key), np.concatenate(a), np.concatenate(b))
@@ -168,7 +191,7 @@ def _points(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, distance: int = 4, max_list: int = 4096) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = 4, max_list: int = 4096, wide_index: int = 1 << 27) -> DataFrame:
     """Links u-v between ids of fps(fp, id), fp distinct, that span each component under `distance` bits.
 
     distance is 2 to 6 and even, as a long list uses points half way.
@@ -176,7 +199,8 @@ def near_links(fps: DataFrame, distance: int = 4, max_list: int = 4096) -> DataF
     shared = 8 - distance
     if not 2 <= shared <= 6 or distance % 2:
         raise ValueError("distance must be 2, 4 or 6")
-    listed = fps.select("fp", "id").mapInArrow(_listed(shared), "list long, fp long, id long").repartition("list").sortWithinPartitions("list", "fp")
+    groups = _groups(shared, fps.count() > wide_index)
+    listed = fps.select("fp", "id").mapInArrow(_listed(groups), "list long, fp long, id long").repartition("list").sortWithinPartitions("list", "fp")
     found = common.written(listed.mapInArrow(_link(distance, max_list), "kind int, u long, v long, id long"))
     links = found.where("kind = 0").select("u", "v").distinct()
     if found.where("kind = 1").take(1):
@@ -187,11 +211,11 @@ def near_links(fps: DataFrame, distance: int = 4, max_list: int = 4096) -> DataF
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, max_list: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, **index) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least id reachable)."""
     fps = common.written(fingerprints(docs, id_col, text_col, words))
     distinct = common.written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    roots = graph.components(near_links(distinct, distance, max_list))
+    roots = graph.components(near_links(distinct, distance, **index))
     classes = distinct.join(roots, distinct.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(classes, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
