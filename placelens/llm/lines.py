@@ -1,15 +1,17 @@
 """Removal of repeated runs of lines by winnowing over line hashes.
 
-The lines of a text that hold a word are hashed. In each window of `window`
-lines the least hash is the window's fingerprint, so any two texts that share a
-run of that many lines share its windows' fingerprints at the same lines: none
-is missed. A position is keyed by its fingerprint with the hashes of the window's
-lines left and right of it, so that a frequent line in another context meets
-nothing. Every window is listed, so nothing is selected and no match has to be
-extended. Of equal positions the first (by id, then place) stays, and the union
-of a text's later windows is deleted. A line of long_line words or more is a run by itself. With passages,
-so is every run of fewer than `window` lines that holds long_line words: all of
-its sizes are listed, so that the short line before or after a long one goes too.
+The lines of a text that hold a word are hashed. Of each window of `window`
+lines the least hash is selected (the rightmost of equals); neighbouring windows
+mostly share it, and a selected line is listed once with all its windows. Texts
+that share a run of that many lines select the same lines of it, so no run is
+missed if only fingerprints that are listed more than once go on. There a match
+is verified and extended both ways: around a selected line each window, as far
+before and behind it as the window reaches, is compared by a digest of all its
+lines. Of equal windows the first (by id, then place) stays, and the union of a
+text's later windows, which is the whole of every repeated run, is deleted.
+
+Runs of fewer lines count if they hold long_line words: one such line, or two
+neighbours together and so on; their windows are selected and met alike.
 
 Positions meet in sums by key, never in pairs.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_POSITIONS = "doc_id long, h long, fingerprint long, context binary, start int, size int"
+_POSITIONS = "doc_id long, h long, fingerprint long, place int, windows array<struct<before:int,size:int,lines:binary>>"
 
 
 def _held_lines(text: str) -> tuple[list[bytes], list[int]]:
@@ -40,37 +42,47 @@ def _held_lines(text: str) -> tuple[list[bytes], list[int]]:
     return lines, [k for k, x in enumerate(lines) if x.strip()]
 
 
-def windows(text: str, window: int, long_line: int, passages: bool = False) -> list[tuple[int, bytes, int, int]]:
-    """(fingerprint, hash of the lines around it, first line, lines), counted over lines with a word."""
+def winnow(text: str, window: int, long_line: int, passages: bool = True) -> dict[int, tuple[int, list[tuple[int, int, bytes]]]]:
+    """By selected line (counted over lines with a word): its hash, and its windows as (lines before it, lines, digest of the lines)."""
     import xxhash
 
     lines, held = _held_lines(text)
     digests = [xxhash.xxh3_128_digest(lines[k]) for k in held]
     heads = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
-    out = []
-    for s in range(len(held) - window + 1):
-        least = max(range(s, s + window), key=lambda k: (-heads[k], k))  # the rightmost least
-        out.append((heads[least], xxhash.xxh3_128_digest(b"".join([bytes([least - s]), *digests[s : s + window]])), s, window))
-    for s, k in enumerate(held):
-        if len(lines[k]) >= 2 * long_line - 1 and len(lines[k].split()) >= long_line:
-            out.append((heads[s], xxhash.xxh3_128_digest(b"one" + digests[s]), s, 1))
-    if passages and len(held) > 1 and len(text) >= 2 * long_line - 1:
-        words = [0, *accumulate(len(lines[k].split()) for k in held)]
-        for size in range(2, window):
-            for s in range(len(held) - size + 1):
-                if words[s + size] - words[s] >= long_line:
-                    out.append((heads[s], xxhash.xxh3_128_digest(b"run" + b"".join(digests[s : s + size])), s, size))
+    starts = [(s, window) for s in range(len(held) - window + 1)]
+    if len(text) >= 2 * long_line - 1:
+        words = [0, *accumulate(len(lines[k].split()) if len(lines[k]) > 1 else 1 for k in held)]
+        for size in range(1, window if passages else 2):
+            starts += [(s, size) for s in range(len(held) - size + 1) if words[s + size] - words[s] >= long_line]
+    out: dict[int, tuple[int, list]] = {}
+    for s, size in starts:
+        least = s
+        for k in range(s + 1, s + size):
+            if heads[k] <= heads[least]:
+                least = k
+        out.setdefault(least, (heads[least], []))[1].append((least - s, size, xxhash.xxh3_128_digest(b"".join(digests[s : s + size]))))
     return out
 
 
 def _positions(window: int, long_line: int, passages: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fingerprint", pa.int64()), ("context", pa.binary()), ("start", pa.int32()), ("size", pa.int32())])
+    part = pa.struct([("before", pa.int32()), ("size", pa.int32()), ("lines", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fingerprint", pa.int64()), ("place", pa.int32()), ("windows", pa.list_(part))])
 
     def run(batches):
         for b in batches:
-            rows = [(i, h, *x) for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True) for x in windows(t, window, long_line, passages)]
-            if rows:
-                yield common.batch(schema, *map(list, zip(*rows, strict=True)))
+            ids, hs, heads, places, cuts, own = [], [], [], [], [0], []
+            for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                for place, (head, windows) in winnow(t, window, long_line, passages).items():
+                    ids.append(i)
+                    hs.append(h)
+                    heads.append(head)
+                    places.append(place)
+                    own += windows
+                    cuts.append(len(own))
+            if own:
+                before, size, lines = map(list, zip(*own, strict=True))
+                windows = pa.StructArray.from_arrays([pa.array(before, pa.int32()), pa.array(size, pa.int32()), pa.array(lines, pa.binary())], fields=list(part))
+                yield common.batch(schema, ids, hs, heads, places, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), windows))
 
     return run
 
@@ -96,10 +108,13 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, window: int, long_line:
     """docs with a helper column of later windows (starts and sizes in turn), and that column's name."""
     names = common.hidden(docs, "h", "later", "id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    found = common.written(rows.where("doc_id is not null and text is not null").mapInArrow(_positions(window, long_line, passages), _POSITIONS))
-    place = F.struct("doc_id", "h", "start")
-    first = found.groupBy("fingerprint", "context", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = found.join(first, ["fingerprint", "context", "size"]).where(place > F.col("first"))
+    listed = common.written(rows.where("doc_id is not null and text is not null").mapInArrow(_positions(window, long_line, passages), _POSITIONS))
+    repeated = listed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    met = listed.join(repeated, "fingerprint", "left_semi").select("doc_id", "h", "fingerprint", "place", F.explode("windows").alias("w"))
+    met = common.written(met.select("doc_id", "h", "fingerprint", "w.before", "w.size", "w.lines", (F.col("place") - F.col("w.before")).alias("start")))
+    place, alike = F.struct("doc_id", "h", "start"), ["fingerprint", "before", "size", "lines"]
+    first = met.groupBy(*alike).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    later = met.join(first, alike).where(place > F.col("first"))
     by_doc = later.groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.array("start", "size"))).alias(names["later"]))
     by_doc = by_doc.withColumnsRenamed({"doc_id": names["id"], "h": names["h"]})
     keyed = docs.join(by_doc, (docs[id_col].cast("long") == F.col(names["id"])) & (F.xxhash64(docs[text_col]) == F.col(names["h"])), "left")
@@ -110,7 +125,7 @@ def _pairs(flat: list[int] | None) -> list[tuple[int, int]]:
     return list(zip(flat[::2], flat[1::2], strict=True)) if flat else []
 
 
-def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, long_line: int = 50, passages: bool = False) -> DataFrame:
+def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, long_line: int = 50, passages: bool = True) -> DataFrame:
     """docs, with its columns, whose texts have lost the later repeated runs."""
     rows, later, _ = _joined(docs, id_col, text_col, window, long_line, passages)
     at, extra, names = docs.columns.index(text_col), len(docs.columns), docs.columns
@@ -125,7 +140,7 @@ def remove_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, docs.schema)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, long_line: int = 50, passages: bool = False) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, long_line: int = 50, passages: bool = True) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_removed, n_runs, kept_sha256 (of the text that stays; null as empty)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows, _, _ = _joined(own, "doc_id", "text", window, long_line, passages)
@@ -146,13 +161,15 @@ WITH l AS (
   SELECT doc_id, i, part[i] AS line, regexp_matches(part[i], '[^\x20\x09-\x0D]') AS held
   FROM (SELECT doc_id, part, unnest(range(1, len(part) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS part FROM documents))
 ), n AS (
-  SELECT *, CAST(count_if(held) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS p FROM l
+  SELECT *, CAST(count_if(held) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS p, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
 ), h AS (
-  SELECT doc_id, p, line, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3 FROM n WHERE held WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+  SELECT doc_id, p, line, words, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, lead(words, 1) OVER w AS words2 FROM n WHERE held WINDOW w AS (PARTITION BY doc_id ORDER BY p)
 ), pos AS (
   SELECT doc_id, p, 3 AS size, line || chr(10) || l2 || chr(10) || l3 AS k FROM h WHERE l3 IS NOT NULL
   UNION ALL
-  SELECT doc_id, p, 1, line FROM h WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50
+  SELECT doc_id, p, 2, line || chr(10) || l2 FROM h WHERE words + words2 >= 50
+  UNION ALL
+  SELECT doc_id, p, 1, line FROM h WHERE words >= 50
 ), later AS (
   SELECT doc_id, p, size FROM (SELECT *, row_number() OVER (PARTITION BY size, k ORDER BY doc_id, p) AS r FROM pos) WHERE r > 1
 ), gone AS (

@@ -276,10 +276,10 @@ def _later_lines(texts, window=3, long_line=50):
         rows = (t or "").split("\n")
         held = [k for k, x in enumerate(rows) if re.search(SPACE, x)]
         gone = set()
-        for size in (window, 1):
+        for size in range(1, window + 1):
             for s in range(len(held) - size + 1):
                 own = tuple(rows[k] for k in held[s : s + size])
-                if size == 1 and len(re.findall(SPACE, own[0])) < long_line:
+                if size < window and sum(len(re.findall(SPACE, x)) for x in own) < long_line:
                     continue
                 if own in seen:
                     gone |= set(range(s, s + size))
@@ -305,6 +305,20 @@ def test_line_runs(docs, empty):
     assert lines.report(empty).count() == lines.remove_runs(empty).count() == 0
 
 
+def test_winnowing_selects_and_shares_minima():
+    """Fewer lines are listed than there are windows, every window once, and texts with a common run list the same lines of it."""
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(4))
+    run = [line() for _ in range(12)]
+    a, b = ([*(line() for _ in range(n)), *run, *(line() for _ in range(7))] for n in (5, 11))
+    x, y = (lines.winnow("\n".join(t), 3, 50) for t in (a, b))
+    for t, w in ((a, x), (b, y)):
+        assert len(w) < 0.8 * (len(t) - 2)
+        assert sorted(p - before for p, (_, own) in w.items() for before, _, _ in own) == list(range(len(t) - 2))
+    inside = {p - 5: v[0] for p, v in x.items() if 7 <= p < 15}
+    assert inside and inside == {p - 11: v[0] for p, v in y.items() if 13 <= p < 21}
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, size=64).collect()
     enc, bins = _library(), {}
