@@ -1,17 +1,22 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search, then exact containment.
 
-Items are cut into word shingles and partitioned by how many they have. A
-partition's sketch size follows from its largest item: if a document holds a
-share t of an item's n shingles, it misses n - ceil(t * n) at most, so of that
-many and one more least-hashed (MinHash) shingles it holds one at least. The
-documents' shingles are looked up in the sketches: none is missed. A candidate
-is verified by the exact share of the item's shingles in the document.
+Items are cut into word shingles and partitioned by how many they have. If a
+document holds a share t of an item's n shingles, it misses n - ceil(t * n) at
+most, so of that many and one more least-hashed (MinHash) shingles it holds one
+at least; these are the item's signature, and a partition's size is that of its
+largest item. No hash of a partition's signatures is above the partition's
+threshold, so a document's signature for that partition is its shingle hashes up
+to there: the larger the items of a partition, the less of a long document is
+looked up. A document and an item with a hash in common are a candidate: none is
+missed. Candidates are verified by the exact share of the item's shingles.
 
 Words are runs of lower-cased letters and digits, in other scripts too, so that
 case and punctuation do not hide a passage. Items with fewer words than a
-shingle are one shingle of all their words. The items are a stated query set:
-they are taken to the driver in blocks of max_block_chars characters, and each
-block is searched in all documents in one pass without a shuffle.
+shingle are one shingle of all their words. Items stay distributed: tasks index
+them in blocks of about max_block_chars characters and write the indexes into
+the shared folder; tasks over documents load them one after the other, so that
+one is in memory at a time, and search without a shuffle. The driver gets the
+blocks' names.
 
 Cases: a null or empty text holds nothing; items without words or id match
 nothing; equal items are each reported; rows with equal ids are searched each on
@@ -20,10 +25,12 @@ its own; columns of docs with clashing names are left alone.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +75,7 @@ def _shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Items:
-    """A block of items: shingles, and the sketches' hashes by shingle length."""
+    """A block of items: their shingles, and by partition the signatures' hashes and threshold."""
 
     def __init__(self, items: list[tuple[int, str]], words: int, share: float):
         self.share, self.sets, self.size = share, {}, {}
@@ -84,21 +91,25 @@ class Items:
             by_size.setdefault((n, len(shingles).bit_length()), []).append(k)
             for s in shingles:
                 self.owners.setdefault(n, {}).setdefault(s, []).append(k)
-        self.all, sketches = {}, {}
+        hashes = {}
         for n, owners in self.owners.items():
-            buffer = b"\n".join(owners)
-            _, _, h = _word_hashes(buffer)
-            self.all[n] = dict(zip(owners, _shingle_hashes(h, n)[::n].tolist(), strict=True))
-        for (n, _), members in by_size.items():
+            _, _, h = _word_hashes(b"\n".join(owners))
+            hashes[n] = dict(zip(owners, _shingle_hashes(h, n)[::n].tolist(), strict=True))
+        self.known = {n: np.array(sorted(h.values()), _U) for n, h in hashes.items()}
+        self.partitions: dict[int, list[np.ndarray]] = {}  # signatures of a partition, ascending: the last is its threshold
+        for (n, _), members in sorted(by_size.items()):
             need = max(self.size[k] - int(np.ceil(share * self.size[k] - 1e-9)) + 1 for k in members)
-            for k in members:
-                sketches.setdefault(n, set()).update(sorted(self.all[n][s] for s in self.sets[k][2])[:need])
-        self.sketch, self.known, self.filter = {}, {}, {}
-        for n, hashes in sketches.items():
-            self.sketch[n] = np.array(sorted(hashes), _U)
-            self.known[n] = np.array(sorted(self.all[n].values()), _U)
-            self.filter[n] = np.zeros(1 << 22, bool)
-            self.filter[n][self.sketch[n] >> _U(42)] = True
+            signatures = {h for k in members for h in sorted(hashes[n][s] for s in self.sets[k][2])[:need]}
+            self.partitions.setdefault(n, []).append(np.array(sorted(signatures), _U))
+
+    def candidates(self, n: int, shingles: np.ndarray) -> np.ndarray:
+        """Places of shingles (hashes) that are in a signature of some partition."""
+        hit = [np.zeros(0, np.int64)]
+        for signatures in self.partitions[n]:
+            low = np.flatnonzero(shingles <= signatures[-1])
+            at = np.searchsorted(signatures, shingles[low])
+            hit.append(low[signatures[at] == shingles[low]])
+        return np.unique(np.concatenate(hit))
 
     def search(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """Per text the items that it holds and their containment."""
@@ -109,11 +120,10 @@ class Items:
         doc = np.searchsorted(bounds, starts, side="right")
         first = np.searchsorted(doc, np.arange(len(raws) + 1))
         out: list[list[tuple[int, float]]] = [[] for _ in texts]
-        for n, sketch in self.sketch.items():
+        for n in self.partitions:
             shingles = _shingle_hashes(h, n)
-            maybe = np.flatnonzero(self.filter[n][shingles >> _U(42)])
-            maybe = maybe[np.isin(shingles[maybe], sketch) & (doc[maybe] == doc[maybe + n - 1])]
-            for d in np.unique(doc[maybe]):
+            maybe = self.candidates(n, shingles)
+            for d in np.unique(doc[maybe[doc[maybe] == doc[maybe + n - 1]]]):
                 lo, hi = int(first[d]), int(first[d + 1]) - n + 1
                 at = lo + np.flatnonzero(np.isin(shingles[lo:hi], self.known[n]))
                 found: dict[int, int] = {}
@@ -128,40 +138,65 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_block_chars: int):
-    block, size = [], 0
-    for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        block.append((r.i, r.t))
-        size += len(r.t)
-        if size >= max_block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def index_items(benchmark: DataFrame, item_id: str, item_text: str, words: int, share: float, max_block_chars: int) -> list[str]:
+    """Write the items' indexes into the shared folder; the names of the blocks, as many as there are max_block_chars in the items."""
+    where = common.shared_dir(benchmark.sparkSession)
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    blocks = -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // max_block_chars) or 1
+    schema = pa.schema([("file", pa.string())])
 
+    def write(batches):
+        part, held, size, seq = TaskContext.get().partitionId(), [], 0, 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append((i, t))
+                size += len(t)
+                if size >= 2 * max_block_chars:
+                    yield out(held, part, seq)
+                    held, size, seq = [], 0, seq + 1
+        if held:
+            yield out(held, part, seq)
 
-def _search(docs: DataFrame, text_col: str, benchmark: DataFrame, into: str, words: int, share: float, max_block_chars: int, item_id: str, item_text: str) -> DataFrame:
+    def out(held, part, seq):
+        file = f"{where}/{part:06d}-{seq:04d}.items"
+        common.put_file(file, pickle.dumps(Items(held, words, share), pickle.HIGHEST_PROTOCOL))
+        return common.batch(schema, [file])
+
+    named = items.repartition(blocks, F.xxhash64("i", "t")).mapInArrow(write, "file string")
+    return sorted(r.file for r in named.collect())
+
+
+_LOADED: dict[str, Items] = {}
+
+
+def _loaded(file: str) -> Items:
+    """A block's index; a worker holds the last one."""
+    if file not in _LOADED:
+        _LOADED.clear()
+        _LOADED[file] = pickle.loads(common.get_range(file, 0))
+    return _LOADED[file]
+
+
+def _search(docs: DataFrame, text_col: str, benchmark: DataFrame, into: str, words: int, share: float, max_block_chars: int, item_id: str, item_text: str, chars_at_once: int = 8_000_000) -> DataFrame:
     """docs with an array column of (item_id, containment)."""
-    at, names, kinds = docs.columns.index(text_col), docs.columns, docs.schema
+    at, names = docs.columns.index(text_col), docs.columns
     item = pa.struct([("item_id", pa.int64()), ("containment", pa.float64())])
-    blocks = list(_blocks(benchmark, item_id, item_text, max_block_chars)) or [[]]
-    for k, block in enumerate(blocks):
-        index = Items(block, words, share)
-        last = docs.columns.index(into) if k else None
-
-        def run(batches, index=index, last=last):
-            for b in batches:
-                texts = b.column(at).to_pylist()
-                hits = []
-                for lo, hi in tokens.groups_of_chars([t or "" for t in texts]):
-                    hits += index.search(texts[lo:hi])
-                before = b.column(last).to_pylist() if last is not None else [[]] * len(hits)
-                rows = [[{"item_id": i, "containment": c} for i, c in h] + (a or []) for h, a in zip(hits, before, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(rows, pa.list_(item))], names=[*names, into])
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields)
-        docs = docs.mapInArrow(run, f"{fields}, `{into}` array<struct<item_id:bigint,containment:double>>")
-    return docs
+    files = index_items(benchmark, item_id, item_text, words, share, max_block_chars)
+
+    def run(batches):
+        for b in batches:
+            texts = ["" if t is None else t for t in b.column(at).to_pylist()]
+            for lo, hi in tokens.groups_of_chars(texts, chars_at_once):
+                rows: list[list] = [[] for _ in range(hi - lo)]
+                for file in files:
+                    index = _loaded(file)
+                    for a, z in tokens.groups_of_chars(texts[lo:hi]):
+                        for k, hits in enumerate(index.search(texts[lo + a : lo + z]), a):
+                            rows[k] += [{"item_id": i, "containment": c} for i, c in hits]
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(rows, pa.list_(item))], names=[*names, into])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, `{into}` array<struct<item_id:bigint,containment:double>>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, share: float = 0.8, max_block_chars: int = 20_000_000) -> DataFrame:

@@ -426,6 +426,7 @@ def test_benchmark_items(spark, docs, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
     grams = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+    assert len(decontaminate.index_items(bench, "item_id", "text", 5, 0.8, 300)) > 3
     for options in ({}, {"max_block_chars": 300}):
         got = _rows(decontaminate.matches(df, bench, **options))
         for k, t, _ in rows:
@@ -440,9 +441,25 @@ def test_benchmark_items(spark, docs, empty):
     left = decontaminate.clean(df, bench)
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {k for k, r in got.items() if not r.contaminated}
     assert decontaminate.matches(empty, bench).count() == 0
+    twice = df.union(df)
+    clash = bench.withColumnsRenamed({"item_id": "doc_id", "text": "hits"}).selectExpr("*", "doc_id AS text")
+    again = decontaminate.matches(twice, clash, item_id="doc_id", item_text="hits").collect()
+    assert sorted((r.doc_id, r.items) for r in again) == sorted((k, r.items) for k, r in got.items() for _ in range(2))
     assert not decontaminate.matches(df, bench.limit(0)).where("contaminated").count()
 
 
+def test_signatures_of_large_items_leave_out_hashes():
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(4000))
+    index = decontaminate.Items([(1, long), (2, "a b c d e f g")], 5, 0.8)
+    small, large = index.partitions[5]
+    assert len(large) == 3996 - int(np.ceil(0.8 * 3996)) + 1 and large[-1] < 2**63 and len(small) == 1
+    words = long.split()
+    for missing in (0, 790, 805):
+        text = " ".join(words[missing:])
+        assert index.search([text, None, "x"]) == [[(1, (3996 - missing) / 3996)] if missing < 800 else [], [], []]
+
+
 def test_main_text(spark):
     import html
 
