@@ -12,6 +12,8 @@ END_ID = 0
 #: A chunk starts at a single space between two characters that are no white space.
 #: Byte-level pre-tokenizers never let a piece cross such a place.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Places inside a chunk that no piece crosses either: before a mark after a letter, and around a single line end.
+_FINE = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-/:-@\[-`{-~])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _ODD = re.compile(r" (?:\s|(?<=\s ))")
 
 
@@ -47,6 +49,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # the memo stands in for it
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
         for token, k in vocabulary.items():
@@ -90,25 +94,54 @@ class Encoder:
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         return np.fromiter((i for x in each for i in x), np.int64, int(sizes.sum())), sizes
 
+    def _room(self, n_ids: int) -> None:
+        while self.used + n_ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.memo) >= len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+
+    def _store(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self._room(len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[at] = sizes
+        self.starts[at] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+    def _gathered(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[at]
+        return self.flat[np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
     def _learn(self) -> None:
-        new, self.memo.new = self.memo.new, []
-        first = len(self.memo) - len(new) + 1
-        led = [c[:1] == " " and bool(c[1:2].strip()) and bool(c[-1:].strip()) for c in new]
+        """Ids of new chunks. One that holds a fine cut is put together from its parts, which recur more often than it does."""
+        new, self.memo.new, look = self.memo.new, [], self.memo.__getitem__
+        first, whole, joined, parts, n_parts = len(self.memo) - len(new) + 1, [], [], [], []
+        for k, c in enumerate(new, first):
+            own = [c] if c[1:].isalpha() or self.special and self.special.search(c) else _FINE.split(c)
+            if len(own) > 1:
+                joined.append(k)
+                parts += map(look, own)
+                n_parts.append(len(own))
+            else:
+                whole.append((k, c))
+        first = len(self.memo) - len(self.memo.new) + 1
+        whole += enumerate(self.memo.new, first)  # parts that were not known
+        self.chars += sum(map(len, new)) + sum(map(len, self.memo.new))
+        self.memo.new = []
+        led = [c[:1] == " " and bool(c[1:2].strip()) and bool(c[-1:].strip()) for _, c in whole]
         for kind in (True, False):
-            own = [k for k, x in enumerate(led) if x == kind]
+            own = [x for x, y in zip(whole, led, strict=True) if y == kind]
             for k in range(0, len(own), 1024):
-                at = np.array(own[k : k + 1024]) + first
-                some = [new[i] for i in own[k : k + 1024]]
-                ids, sizes = self._ids(some, kind)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                while first + len(new) > len(self.starts):
-                    self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.sizes[at] = sizes
-                self.starts[at] = self.used + np.cumsum(sizes) - sizes
-                self.used += len(ids)
-        self.chars += sum(map(len, new))
+                at, some = zip(*own[k : k + 1024], strict=True)
+                self._store(np.array(at), *self._ids(list(some), kind))
+        if joined:
+            at, n = np.array(parts), np.array(n_parts)
+            self._store(np.array(joined), self._gathered(at), np.add.reduceat(self.sizes[at], np.cumsum(n) - n))
+            self._count(at)
+
+    def _count(self, at: np.ndarray) -> None:
+        seen = np.bincount(at, minlength=len(self.memo) + 1)
+        seen[: len(self.hits)] += self.hits
+        self.hits = seen
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > self.max_chunks or self.chars > self.max_chars:
@@ -123,13 +156,9 @@ class Encoder:
         if not places:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         at = np.concatenate(places)
-        seen = np.bincount(at, minlength=len(self.memo) + 1)
-        seen[: len(self.hits)] += self.hits
-        self.hits = seen
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
-        per_text = np.add.reduceat(sizes, np.concatenate([[0], np.cumsum(n_chunks)[:-1]]))
+        self._count(at)
+        ids = self._gathered(at)
+        per_text = np.add.reduceat(self.sizes[at], np.concatenate([[0], np.cumsum(n_chunks)[:-1]]))
         return ids, per_text
 
 
