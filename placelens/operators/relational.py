@@ -31,8 +31,9 @@ def insert_ignore(base: DataFrame, new: DataFrame, keys: list[str], order: Colum
 
 
 def update_from(base: DataFrame, other: DataFrame, keys: list[str], column: str, value: str) -> DataFrame:
-    """column takes other's value where the key matches and the value is there."""
-    return base.join(other.select(*keys, F.col(value).alias("_v")), keys, "left").withColumn(column, F.coalesce("_v", column)).drop("_v").select(base.columns)
+    """column takes other's value where the key matches and the value is there; of several values the greatest."""
+    values = other.groupBy(*keys).agg(F.max(value).alias("_v"))
+    return base.join(values, keys, "left").withColumn(column, F.coalesce("_v", column)).drop("_v").select(base.columns)
 
 
 def delete_siblings(df: DataFrame, keys: list[str], marker: Column) -> DataFrame:
@@ -97,10 +98,15 @@ def shared_values(df: DataFrame, key: str, value: str, limit: int) -> DataFrame:
     return df.join(often, value).select(key, value, "uses")
 
 
-def coverage(totals: DataFrame, failures: DataFrame, key: str, field: str) -> DataFrame:
-    """present = total - missing by key and field, and the share in per cent to one decimal."""
+def coverage(totals: DataFrame, failures: DataFrame, key: str, field: str, fields: list[str]) -> DataFrame:
+    """present = total - missing for every key of totals(key, total) and every field, and the share in per cent to one decimal.
+
+    A key and field without a failure is wholly present; keys with a total of 0 are left out.
+    """
     missing = failures.groupBy(key, field).agg(F.count("*").alias("missing"))
-    return missing.join(totals, key).select(key, field, (F.col("total") - F.col("missing")).alias("present"), F.round(100.0 * (F.col("total") - F.col("missing")) / F.col("total"), 1).alias("pct"))
+    every = totals.where("total > 0").withColumn(field, F.explode(F.array(*map(F.lit, fields))))
+    present = F.col("total") - F.coalesce("missing", F.lit(0))
+    return every.join(missing, [key, field], "left").select(key, field, present.alias("present"), F.round(100.0 * present / F.col("total"), 1).alias("pct"))
 
 
 def share_of_total(df: DataFrame, by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelens.functions import geo
+from placelens.operators import scratch
 
 BOX = ("bbox_south", "bbox_west", "bbox_north", "bbox_east")
 
@@ -26,34 +27,55 @@ def matches_mask(mask: int, column: str = "care_type") -> Column:
     return F.lit(True) if mask == 0 else F.expr(f"(shiftleft(1, {column}) & {int(mask)}) <> 0")
 
 
+#: Cells of level k are CELL * 4^k degrees wide; the last level's cover the globe.
+CELL, LEVELS = 0.25, 7
+
+
+def _cells(df: DataFrame, rect: tuple, every_level: bool) -> DataFrame:
+    """df with a row for each grid cell (level, gy, gx) that its rectangle meets.
+
+    A provider lies on the level whose cells are as wide as its longer side, so
+    it is in four cells at most; a viewport looks up every level.
+    """
+    south, west, north, east = rect
+    if every_level:
+        levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    else:
+        side = F.greatest(north - south, east - west, F.lit(CELL))
+        levels = F.least(F.ceil(F.log(4.0, side / CELL) - 1e-9), F.lit(LEVELS)).cast("int")
+    out = df.withColumn("_level", levels).withColumn("_size", CELL * F.pow(F.lit(4.0), F.col("_level")))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / F.col("_size")), F.floor(hi / F.col("_size"))))
+    return out.withColumn("_gy", span(south, north)).withColumn("_gx", span(west, east)).drop("_size")
+
+
 def _hits(providers: DataFrame, queries: DataFrame, rect: tuple, limit: int) -> DataFrame:
-    """Both populations of each query, nearest first, cut at limit, with whether they had more."""
-    joined = providers.join(F.broadcast(queries), geo.overlaps(extent(), rect))
+    """Both populations of each query, nearest first, cut at limit, with whether they had more. An equi-join on grid cells."""
+    looked = _cells(queries, rect, every_level=True)
+    joined = _cells(providers, extent(), every_level=False).join(looked, ["_level", "_gy", "_gx"]).where(geo.overlaps(extent(), rect))
     one = joined.dropDuplicates(["query_id", "provider_id"])  # hits only are shuffled, not all providers
     located = one.withColumn("is_box", F.col("bbox_south").isNotNull()).withColumn("km", distance_km((F.col("q_lat"), F.col("q_lon"))))
     w = Window.partitionBy("query_id", "is_box")
     return located.withColumn("rank", F.row_number().over(w.orderBy("km", "provider_id"))).withColumn("more", F.count("*").over(w) > limit).where(F.col("rank") <= limit)
 
 
-def spatial_search(providers: DataFrame, queries: DataFrame, limit: int = 500, inflation: float = 1.0, mask: int = 0, max_queries: int = 10_000) -> DataFrame:
+def spatial_search(providers: DataFrame, queries: DataFrame, limit: int = 500, inflation: float = 1.0, mask: int = 0) -> DataFrame:
     """Providers for each viewport: query_id, provider_id, is_box, km, mode.
 
     providers: provider_id, care_type, lat, lon, bbox_*; queries: query_id, q_lat, q_lon, south, west, north, east.
     The inflated viewport is searched first. If the points overflow and a corner
     of the viewport is farther than the last point that is left, the answer would
-    have holes, and the exact viewport is searched instead. Queries are a stated
-    set and are checked to be max_queries at most before they are broadcast.
+    have holes, and the exact viewport is searched instead. Both sides meet on
+    grid cells, so neither has to be small.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search them in blocks")
     own = providers.where(matches_mask(mask)).where("lat is not null or bbox_south is not null").select("provider_id", "lat", "lon", *BOX)
     view = tuple(F.col(c) for c in ("south", "west", "north", "east"))
-    wide = _hits(own, queries, geo.inflate(*view, inflation), limit)
+    wide = scratch.written(_hits(own, queries, geo.inflate(*view, inflation), limit).select("query_id", "provider_id", "is_box", "km", "more"))
     last = wide.where("not is_box and more").groupBy("query_id").agg(F.max("km").alias("radius"))
     short = queries.join(last, "query_id").where(~geo.box_within_circle(F.col("q_lat"), F.col("q_lon"), F.col("radius"), view)).select("query_id")
-    exact = _hits(own, queries.join(F.broadcast(short), "query_id", "left_semi"), view, limit).withColumn("mode", F.lit("exact"))
-    kept = wide.join(F.broadcast(short), "query_id", "left_anti").withColumn("mode", F.lit("inflated"))
-    return kept.unionByName(exact).select("query_id", "provider_id", "is_box", "km", "mode")
+    exact = _hits(own, queries.join(short, "query_id", "left_semi"), view, limit).withColumn("mode", F.lit("exact"))
+    kept = wide.join(short, "query_id", "left_anti").withColumn("mode", F.lit("inflated"))
+    columns = ["query_id", "provider_id", "is_box", "km", "mode"]
+    return kept.select(*columns).unionByName(exact.select(*columns))
 
 
 def cost_column(ages_months: list[int]) -> Column:
@@ -84,14 +106,14 @@ def sort_value(mode: str, ages_months: list[int]) -> tuple[Column, bool]:
     }[mode]
 
 
-def filter_sort_dedupe(rows: DataFrame, mode: str, ages_months: list[int], funded_only: bool = False) -> DataFrame:
-    """One row per provider with its place: the best eligible row by the mode, missing values (null, NaN, -1) last, then nearest."""
+def filter_sort_dedupe(rows: DataFrame, mode: str, ages_months: list[int], funded_only: bool = False, keys: tuple[str, ...] = ("provider_id",)) -> DataFrame:
+    """One row per provider (and viewport, if keys name it): the best eligible row by the mode, missing values (null, NaN, -1) last, then nearest."""
     value, ascending = sort_value(mode, ages_months)
     value = F.when(F.isnan(value.cast("double")) | (value == -1), None).otherwise(value)
     own = rows.where(age_eligible(ages_months)).where(F.col("funded") if funded_only else F.lit(True)).withColumn("sort_value", value.cast("double"))
     order = [F.col("sort_value").asc_nulls_last() if ascending else F.col("sort_value").desc_nulls_last(), F.col("km"), F.col("provider_id"), F.col("care_type")]
-    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("provider_id").orderBy(*order))).where("_n = 1").drop("_n")
-    return first.withColumn("miles", F.coalesce(geo.miles(F.col("km")), F.lit(0.0))).orderBy(*order)
+    first = own.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    return first.withColumn("miles", F.coalesce(geo.miles(F.col("km")), F.lit(0.0))).orderBy(*keys[:-1], *order)
 
 
 def in_viewport(view: tuple[float, float, float, float]) -> Column:
@@ -122,16 +144,31 @@ def needs_requery(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.when(~F.col("cached") | (F.col("mask") != F.col("new_mask")) | ~F.col("same_postcode"), True).when(~F.col("inflated"), moved).otherwise(~within | holes).alias("requery"))
 
 
-def nearest(points: DataFrame, places: DataFrame, k: int = 1, cell: float = 0.5, rings: int = 8, scope: str | None = None) -> DataFrame:
-    """The k nearest places of each point by degrees, within rings * cell degrees of it: id, place_id, rank, degrees.
+def nearest(points: DataFrame, places: DataFrame, k: int = 1, cell: float = 0.25, rings: int = 2, scope: str | None = None) -> DataFrame:
+    """The k nearest places of each point by degrees: id, place_id, rank, degrees.
 
-    An equi-join on grid cells and their neighbours within the rings, never a cross join.
+    Points meet the places of their grid cell and the cells within `rings` of
+    it. A point that has k places within rings * cell degrees is served; the
+    others search a grid of cells four times as wide, until each is served or
+    the grid covers the globe, so no place is too far. Equi-joins throughout.
     """
-    grid = lambda lat, lon: (F.floor(F.col(lat) / cell), F.floor(F.col(lon) / cell))
-    py, px = grid("lat", "lon")
-    near = points.withColumn("gy", F.explode(F.sequence(py - rings, py + rings))).withColumn("gx", F.explode(F.sequence(px - rings, px + rings)))
-    gy, gx = grid("p_lat", "p_lon")
-    joined = near.join(places.withColumn("gy", gy).withColumn("gx", gx), ["gy", "gx", *([scope] if scope else [])])
-    degrees = F.sqrt(F.pow(F.col("lat") - F.col("p_lat"), 2) + F.pow(F.col("lon") - F.col("p_lon"), 2))
-    ranked = joined.withColumn("degrees", degrees).where(F.col("degrees") <= cell * rings).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("degrees", "place_id")))
-    return ranked.where(F.col("rank") <= k).select("id", "place_id", F.col("rank").cast("long").alias("rank"), "degrees")
+    on, out, rest = ["gy", "gx", *([scope] if scope else [])], None, points
+    while True:
+        grid = lambda c, size=cell: F.floor(F.col(c) / size)
+        around = lambda c: F.explode(F.sequence(grid(c) - rings, grid(c) + rings))  # noqa: E731, B023
+        near = rest.withColumn("gy", around("lat")).withColumn("gx", around("lon"))
+        joined = near.join(places.withColumn("gy", grid("p_lat")).withColumn("gx", grid("p_lon")), on)
+        degrees = F.sqrt(F.pow(F.col("lat") - F.col("p_lat"), 2) + F.pow(F.col("lon") - F.col("p_lon"), 2))
+        last = cell * rings >= 720
+        ranked = joined.withColumn("degrees", degrees).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("degrees", "place_id"))).where(F.col("rank") <= k)
+        if not last:
+            ranked = ranked.where(F.col("degrees") <= cell * rings)
+        found = scratch.written(ranked.select("id", "place_id", F.col("rank").cast("long").alias("rank"), "degrees"))
+        served = found if last else found.join(found.where(F.col("rank") == k).select("id"), "id", "left_semi")
+        out = served if out is None else out.union(served)
+        if last:
+            return out
+        rest = scratch.written(rest.join(found.where(F.col("rank") == k).select("id"), "id", "left_anti"))
+        if not rest.take(1):
+            return out
+        cell *= 4

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from placelens.operators import publish, spatial
+from placelens.operators import publish, scratch, spatial
 from placelens.plans.base import providers, table, viewports
 from placelens.plans.registry import registry
 from placelens.sources import html
@@ -16,9 +13,9 @@ from placelens.streaming import events as stream
 QUERIES, ORACLE_SQL, query = registry()
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages")
+@query("SELECT page_id, coalesce(len(regexp_extract_all(html, '<a href=')), 0) AS n_links FROM pages")
 def page_links(spark, d):
-    return table(spark, d, "pages").select("page_id", html.extract("html").alias("f")).select("page_id", "f.n_links")
+    return table(spark, d, "pages").select("page_id", F.coalesce(F.regexp_count("html", F.lit("<a href=")), F.lit(0)).cast("long").alias("n_links"))
 
 
 @query()
@@ -38,8 +35,7 @@ def packed_answers(spark, d):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streamed_hourly_counts(spark, d):
     """Events read as a stream and deduplicated, then counted by hour from what the stream has written."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="placelens-")
-    where = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = scratch.shared_path(spark, "stream")
     source = table(spark, d, "events")
     incoming = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
     stream.load_available(stream.deduplicated(incoming, late="3650 days"), f"{where}/out", f"{where}/state").awaitTermination()

@@ -40,17 +40,18 @@ _ELIGIBLE = "(SELECT bool_or(a BETWEEN coalesce(min_months, min_years * 12, 0) A
 
 def _ranked(mode: str):
     value, way = _VALUE[mode]
-    sql = _SEARCH.format(limit=500) + f"""SELECT provider_id, round(v, 4) AS sort_value, row_number() OVER (ORDER BY v {way} NULLS LAST, km, provider_id) AS place FROM (
-  SELECT provider_id, km, CASE WHEN v = -1 THEN NULL ELSE v END AS v FROM (SELECT p.provider_id, km, {value} AS v FROM found JOIN p ON found.provider_id = p.provider_id WHERE query_id = 3 AND {_ELIGIBLE}))"""
+    sql = _SEARCH.format(limit=500) + f"""SELECT query_id, provider_id, round(v, 4) AS sort_value, row_number() OVER (PARTITION BY query_id ORDER BY v {way} NULLS LAST, km, provider_id) AS place FROM (
+  SELECT query_id, provider_id, km, CASE WHEN v = -1 THEN NULL ELSE v END AS v FROM (SELECT query_id, p.provider_id, km, {value} AS v FROM found JOIN p ON found.provider_id = p.provider_id WHERE {_ELIGIBLE}))"""
 
     def run(spark, d):
         from pyspark.sql import Window
 
         own = providers(spark, d)
-        found = spatial.spatial_search(own, viewports(spark, d).where("query_id = 3"))
-        ranked = spatial.filter_sort_dedupe(found.join(own.drop("lat", "lon"), "provider_id"), mode, [14, 40])
+        found = spatial.spatial_search(own, viewports(spark, d))
+        ranked = spatial.filter_sort_dedupe(found.join(own.drop("lat", "lon"), "provider_id"), mode, [14, 40], keys=("query_id", "provider_id"))
         order = F.col("sort_value").asc_nulls_last() if spatial.sort_value(mode, [])[1] else F.col("sort_value").desc_nulls_last()
-        return ranked.select("provider_id", F.round("sort_value", 4).alias("sort_value"), F.row_number().over(Window.orderBy(order, "km", "provider_id")).cast("long").alias("place"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "km", "provider_id"))
+        return ranked.select("query_id", "provider_id", F.round("sort_value", 4).alias("sort_value"), place.cast("long").alias("place"))
 
     run.__name__ = "spatial_search_ranked" if mode == "distance" else f"ranked_by_{mode}"
     query(sql)(run)
@@ -65,16 +66,16 @@ def viewport_filter(spark, d):
     return providers(spark, d).where(spatial.in_viewport((51.0, -3.0, 52.5, -1.0))).select("provider_id")
 
 
-@query(f"""WITH p AS ({PROVIDERS_SQL}), k AS (SELECT *, {_DISTANCE} AS km FROM (SELECT *, 52.0 AS q_lat, -2.0 AS q_lon FROM p WHERE (lat IS NOT NULL AND provider_id % 3 = 0) OR bbox_south IS NOT NULL)), m AS (SELECT *, max(CASE WHEN bbox_south IS NULL AND lat < 53 AND lon < 0 THEN km END) OVER () AS far FROM k WHERE bbox_south IS NOT NULL OR lat < 53 AND lon < 0)
+@query(f"""WITH p AS ({PROVIDERS_SQL}), k AS (SELECT *, {_DISTANCE} AS km FROM (SELECT *, 52.0 AS q_lat, -2.0 AS q_lon FROM p WHERE lat IS NOT NULL OR bbox_south IS NOT NULL)), m AS (SELECT *, max(CASE WHEN bbox_south IS NULL AND lat < 53 AND lon < 0 THEN km END) OVER () AS far FROM k WHERE bbox_south IS NOT NULL OR lat < 53 AND lon < 0)
 SELECT provider_id, bbox_south IS NOT NULL AS is_box FROM m WHERE bbox_south IS NULL OR km <= far OR bbox_south >= 51 AND bbox_west >= -3 AND bbox_north <= 54.9 AND bbox_east <= 1""")
 def box_cap(spark, d):
-    own = providers(spark, d).where("lat < 53 and lon < 0 and provider_id % 3 = 0 or bbox_south is not null")
+    own = providers(spark, d).where("lat < 53 and lon < 0 or bbox_south is not null")
     rows = own.withColumn("km", spatial.distance_km((F.lit(52.0), F.lit(-2.0))))
     return spatial.cap_boxes(rows, (51.0, -3.0, 54.9, 1.0)).select("provider_id", F.col("bbox_south").isNotNull().alias("is_box"))
 
 
 @query(f"""WITH p AS ({PROVIDERS_SQL}), q AS ({VIEWPORTS_SQL}), a AS (SELECT q_lat AS lat, q_lon AS lon, query_id AS id FROM q), b AS (SELECT provider_id AS place_id, lat AS p_lat, lon AS p_lon FROM p WHERE lat IS NOT NULL)
-SELECT id, place_id, rank, round(degrees, 6) AS degrees FROM (SELECT id, place_id, sqrt(pow(lat - p_lat, 2) + pow(lon - p_lon, 2)) AS degrees, row_number() OVER (PARTITION BY id ORDER BY sqrt(pow(lat - p_lat, 2) + pow(lon - p_lon, 2)), place_id) AS rank FROM a, b) WHERE rank <= 3 AND degrees <= 4""")
+SELECT id, place_id, rank, round(degrees, 6) AS degrees FROM (SELECT id, place_id, sqrt(pow(lat - p_lat, 2) + pow(lon - p_lon, 2)) AS degrees, row_number() OVER (PARTITION BY id ORDER BY sqrt(pow(lat - p_lat, 2) + pow(lon - p_lon, 2)), place_id) AS rank FROM a, b) WHERE rank <= 3""")
 def three_nearest(spark, d):
     places = providers(spark, d).where("lat is not null").select(F.col("provider_id").alias("place_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     points = viewports(spark, d).select(F.col("query_id").alias("id"), F.col("q_lat").alias("lat"), F.col("q_lon").alias("lon"))

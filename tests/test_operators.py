@@ -55,11 +55,50 @@ def test_spatial_search(spark, limit):
         assert got.get((q, mode), set()) == want
 
 
-def test_queries_are_bounded(spark):
-    df, _ = _providers(spark, 5)
-    q = spark.range(3).select(F.col("id").alias("query_id"), *(F.lit(51.0).alias(c) for c in ("q_lat", "q_lon", "south", "west", "north", "east")))
-    with pytest.raises(ValueError, match="blocks"):
-        spatial.spatial_search(df, q, max_queries=2)
+def test_search_meets_boxes_of_every_size(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(200):
+        south, west, size = rng.uniform(-80, 60), rng.uniform(-170, 100), 10 ** rng.uniform(-3, 1.8)
+        rows.append((k, 0, None, None, south, west, min(90.0, south + size), min(180.0, west + size)) if k % 2 else (k, 0, south, west, None, None, None, None))
+    df = spark.createDataFrame(rows, "provider_id long, care_type int, lat double, lon double, bbox_south double, bbox_west double, bbox_north double, bbox_east double")
+    views = [(q, 0.0, 0.0, s, w, s + h, w + h) for q, (s, w, h) in enumerate([(50.0, -1.0, 0.01), (-10.0, -20.0, 5.0), (0.0, 0.0, 40.0), (-90.0, -180.0, 180.0)])]
+    got = spatial._hits(df, spark.createDataFrame(views, "query_id long, q_lat double, q_lon double, south double, west double, north double, east double"), tuple(map(F.col, ("south", "west", "north", "east"))), 1000)
+    want = {(q, r[0]) for q, _, _, s, w, n, e in views for r in rows for a, b, c, d in [(r[2], r[3], r[2], r[3]) if r[2] is not None else r[4:]] if a <= n and c >= s and b <= e and d >= w}
+    assert {(r.query_id, r.provider_id) for r in got.collect()} == want and len(want) > 100
+
+
+def test_nearest_finds_far_places(spark):
+    rng = random.Random(6)
+    places = [(k, rng.gauss(51, 0.2), rng.gauss(0, 0.2)) for k in range(50)] + [(90, -60.0, 170.0)]
+    points = [(1, 51.0, 0.0), (2, 40.0, 20.0), (3, -70.0, -175.0), (4, 51.01, 0.01)]
+    got = {}
+    for r in spatial.nearest(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(places, "place_id long, p_lat double, p_lon double"), 3).collect():
+        got.setdefault(r.id, []).append((r.rank, r.place_id))
+    for i, y, x in points:
+        best = sorted(places, key=lambda p: ((p[1] - y) ** 2 + (p[2] - x) ** 2, p[0]))[:3]
+        assert sorted(got[i]) == [(k + 1, p[0]) for k, p in enumerate(best)]
+    few = spatial.nearest(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(places[:2], "place_id long, p_lat double, p_lon double"), 3)
+    assert few.count() == 8
+
+
+def test_coverage_of_keys_without_failures(spark):
+    totals = spark.createDataFrame([("a", 4), ("b", 2), ("c", 0)], "k string, total long")
+    failures = spark.createDataFrame([("a", "x"), ("c", "x")], "k string, f string")
+    got = {(r.k, r.f): (r.present, r.pct) for r in relational.coverage(totals, failures, "k", "f", ["x", "y"]).collect()}
+    assert got == {("a", "x"): (3, 75.0), ("a", "y"): (4, 100.0), ("b", "x"): (2, 100.0), ("b", "y"): (2, 100.0)}
+
+
+def test_update_with_repeated_keys(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    other = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "k long, w string")
+    assert {tuple(r) for r in relational.update_from(base, other, ["k"], "v", "w").collect()} == {(1, "y"), (2, "b")}
+
+
+def test_components_raise_when_unsettled(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "u long, v long")
+    with pytest.raises(RuntimeError, match="settle"):
+        components.components(spark.range(61), edges, max_rounds=1)
 
 
 def test_components_of_shared_keys(spark):
