@@ -99,13 +99,17 @@ def rounding(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numbers.round_half_up(c("l_extendedprice") * c("l_discount")).alias("half_up"), numbers.round_to_ten(c("l_extendedprice")).cast("double").alias("tens"))
 
 
-_AGES = ("2 years 10 months to 5 years", "0-12", "Up to 8 years", "From 6 months to 5 years", "All ages", "n years", "0-5 Years5-8 Years", "3 months - 4 years", "18+", "")
+# Made texts of ages and fees from a part's numbers; the SQL states what they mean by arithmetic, not by a grammar.
+_AGE_PARTS = "SELECT p_partkey, p_partkey % 6 AS kind, p_size % 11 + 1 AS a, p_size % 7 + 2 AS b FROM part"
 
 
-@query()
+@query(f"""SELECT p_partkey, CAST(CASE kind WHEN 0 THEN a WHEN 3 THEN 0 WHEN 4 THEN 0 END AS INT) AS min_months, CAST(CASE WHEN kind IN (1, 2) THEN b END AS INT) AS min_years,
+ CAST(CASE kind WHEN 0 THEN b WHEN 2 THEN b + 4 WHEN 3 THEN b WHEN 4 THEN 18 END AS INT) AS max_years FROM ({_AGE_PARTS})""")
 def parsed_age_ranges(spark, d):
-    raw = F.element_at(F.array(*map(F.lit, _AGES)), (c("p_partkey") % len(_AGES) + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", parse.parse_age_range(raw).alias("a")).select("p_partkey", "a.*")
+    rows = from_sql(spark, d, _AGE_PARTS, "part")
+    texts = ("concat(a, ' Months to ', b, ' years')", "concat('From ', b, ' years ', a, ' months')", "concat(b, ' - ', b + 4)", "concat('Up to ', b, ' years')", "'All ages'", "'adults'")
+    raw = F.expr(f"CASE kind {' '.join(f'WHEN {k} THEN {t}' for k, t in enumerate(texts))} END")
+    return rows.select("p_partkey", parse.parse_age_range(raw).alias("r")).select("p_partkey", "r.*")
 
 
 _HOURS = ("Mon-Fri 08:00-18:00; Sat 9am to 1pm", "Monday to Thursday: 7.30 - 6", "Tue, Thu 15:15-17:45", "closed", "")
@@ -118,13 +122,12 @@ def parsed_opening_hours(spark, d):
     return slots.select("p_partkey", "s.days", "s.open", "s.close", numbers.decimal_hours(c("s.close")).alias("until"))
 
 
-_FEES = ("£8.50 per hour; under 2s £95 full day", "Morning session £20\nAfternoon £18.25\n3-4 years £6 hourly", "free")
-
-
-@query()
+@query(f"""SELECT p_partkey, age_band, period, amount FROM (SELECT p_partkey, unnest(CASE p_partkey % 3 WHEN 0 THEN [{{'age_band': 'all', 'period': 'per_hour', 'amount': a + 0.5}}, {{'age_band': 'under2', 'period': 'full_day', 'amount': b * 10.0}}]
+ WHEN 1 THEN [{{'age_band': 'all', 'period': 'morning_session', 'amount': b * 1.0}}, {{'age_band': 'all', 'period': 'afternoon_session', 'amount': a + 0.25}}, {{'age_band': 'age3to4', 'period': 'per_hour', 'amount': a * 1.0}}] END, recursive := true) FROM ({_AGE_PARTS}))""")
 def parsed_fees(spark, d):
-    raw = F.element_at(F.array(*map(F.lit, _FEES)), (c("p_partkey") % len(_FEES) + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", F.explode(parse.parse_fees(raw)).alias("f")).select("p_partkey", "f.*")
+    rows = from_sql(spark, d, _AGE_PARTS, "part")
+    raw = F.expr(r"""CASE p_partkey % 3 WHEN 0 THEN concat('£', a, '.50 per hour; under 2s £', b * 10, ' full day; £99 hourly') WHEN 1 THEN concat('Morning session £', b, '\n', 'Afternoon £', a, '.25', '\n', '3-4 years £ ', a, ' hourly') ELSE 'free' END""")
+    return rows.select("p_partkey", F.explode(parse.parse_fees(raw)).alias("f")).select("p_partkey", "f.*")
 
 
 @query()
