@@ -109,11 +109,12 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, window: int, long_line:
     names = common.hidden(docs, "h", "later", "id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     listed = common.written(rows.where("doc_id is not null and text is not null").mapInArrow(_positions(window, long_line, passages), _POSITIONS))
-    repeated = listed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    # Sums are written, so that a join after them shuffles both sides for itself and a hot key's rows can be split.
+    repeated = common.written(listed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
     met = listed.join(repeated, "fingerprint", "left_semi").select("doc_id", "h", "fingerprint", "place", F.explode("windows").alias("w"))
     met = common.written(met.select("doc_id", "h", "fingerprint", "w.before", "w.size", "w.lines", (F.col("place") - F.col("w.before")).alias("start")))
     place, alike = F.struct("doc_id", "h", "start"), ["fingerprint", "before", "size", "lines"]
-    first = met.groupBy(*alike).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    first = common.written(met.groupBy(*alike).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
     later = met.join(first, alike).where(place > F.col("first"))
     by_doc = later.groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.array("start", "size"))).alias(names["later"]))
     by_doc = by_doc.withColumnsRenamed({"doc_id": names["id"], "h": names["h"]})
