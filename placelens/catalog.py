@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from placelens.plans import costs, documents, relational, search, texts
+from placelens.plans import costs, documents, records, relational, reports, search, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (relational, search, texts, costs, documents):
+for _plans in (relational, search, texts, costs, documents, records, reports):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placelens.functions.text import POSTCODE
+
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, rule) for each rule that a row breaks; a condition that is null is not broken."""
@@ -28,6 +30,19 @@ def care_type_rules(care_type: Column, weeks: Column, min_years: Column, max_yea
     }
 
 
+def provider_rules(name: Column, postcode: Column, address: Column, city: Column, lat: Column, lon: Column, contacts: list[Column]) -> dict[str, Column]:
+    """Rules for places that are open to the public: they must be named, reachable and on the map."""
+    blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
+    return {
+        "name": blank(name),
+        "postcode": ~F.coalesce(postcode.rlike(POSTCODE), F.lit(False)),
+        "address": blank(address),
+        "city_digits": city.rlike(r"\d"),
+        "coordinates": ~F.coalesce(lat.between(49.0, 61.0) & lon.between(-9.0, 2.5), F.lit(False)),
+        "contact": F.forall(F.array(*contacts), lambda x: blank(x)),
+    }
+
+
 def summary(broken: DataFrame, key: str, samples: int = 3) -> DataFrame:
     """Rules with how often they are broken and the first few keys."""
     return broken.groupBy("rule").agg(F.count("*").alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(key)), 1, samples), lambda x: x.cast("string")), ",").alias("sample"))
