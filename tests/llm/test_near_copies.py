@@ -44,7 +44,7 @@ def _made():
     return [(i, t, "x") for i, t in zip(order, texts, strict=True)]
 
 
-@pytest.mark.parametrize("options", [{}, {"frequent": 3}, {"frequent": 3, "max_late": 20}])
+@pytest.mark.parametrize("options", [{}, {"frequent": 3}, {"frequent": 3, "max_late": 20}, {"frequent": 2, "block_chars": 3000}])
 def test_all_pairs(spark, options):
     rows = _made()
     df = spark.createDataFrame([*rows, (None, rows[30][1], "x")], SCHEMA)
@@ -84,7 +84,30 @@ def test_lists_over_many_batches():
     n = rng.integers(5, 9, 200).astype(np.int32)
     at = np.lexsort((n, s))
     table = pa.table({"s": s[at], "key": np.arange(200), "n": n[at], "i": np.zeros(200, np.int32)})
-    meet = near_copies._meet(Fraction(4, 5))
-    pairs = lambda size: sorted((a, b) for x in meet(table.to_batches(size)) for a, b in zip(*(c.to_pylist() for c in x.columns)))
+    meet = near_copies._meet(Fraction(4, 5), 100)
+    pairs = lambda size: sorted((a, b) for x in meet(table.to_batches(size)) for _, a, b in zip(*(c.to_pylist() for c in x.columns)))
     want = sorted((a, b) for b in range(200) for a in range(b) if s[at][a] == s[at][b] and 9 * min(n[at][a], n[at][b]) >= 4 * (n[at][a] + n[at][b]) and 5 * n[at][a] >= 4 * n[at][b])
     assert pairs(200) == pairs(7) == pairs(1) == want
+    long = near_copies._meet(Fraction(4, 5), 1)
+    rows = [r for x in long(table.to_batches(7)) for r in zip(*(c.to_pylist() for c in x.columns))]
+    least = {int(x): int(np.arange(200)[s[at] == x].min()) for x in np.unique(s)}
+    assert sorted(rows) == sorted((1, k, least[int(s[at][k])]) for k in range(200))
+
+
+def test_large_group_emits_no_pairs(spark, monkeypatch):
+    """Copies of one base, of which some lie under the share: the components are those of all pairs, and links no more than texts."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
+    rows = []
+    for k in range(150):
+        new = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 5)):
+            new[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(new), ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    left = near_copies.distinct_documents(df, frequent=8, block_chars=20_000)
+    assert {r.doc_id for r in left.collect()} == _stay(rows)
+    keyed = df.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    assert near_copies.links(keyed, keyed.select("key", F.col("doc_id").alias("id")), frequent=8).count() < 400
