@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path under spark.checkpoint.dir, which every executor sees.
 
-    Only where that setting is missing, as in local tests, a local folder
-    takes its place, one for each application.
+    Only where that setting is missing in a local session, as in tests, a local
+    folder takes its place, one for each application; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="placelens-")
