@@ -40,9 +40,9 @@ def inspection_fields(spark, d):
     return p.select("id", R.iso_date(c("t")).alias("day"), R.grade_label(c("a") % 6).alias("grade"))
 
 
-@query(f"SELECT id, CASE kind WHEN 0 THEN 'bristol|bristol, city of' WHEN 1 THEN 'hull|kingston-upon|x' WHEN 2 THEN 'st. helens' WHEN 3 THEN 'bath and north' END AS some FROM ({_PARTS}) WHERE kind IN (0)")
+@query(f"SELECT id, CASE kind WHEN 0 THEN 'bristol|bristol, city of' WHEN 1 THEN 'hull' WHEN 2 THEN 'stoke-on-trent|stoke on trent' WHEN 3 THEN 'bath & avon|bath and avon' ELSE '' END AS some FROM ({_PARTS})")
 def area_name_variants(spark, d):
-    p = _parts(spark, d, "'Bristol, City of'").where("kind = 0")
+    p = _parts(spark, d, "'Bristol, City of'", "' Hull'", "'Stoke-on-Trent'", "'Bath & Avon'", "''")
     return p.select("id", F.array_join(R.area_name_variants(c("t")), "|").alias("some"))
 
 
