@@ -86,10 +86,13 @@ def session_fee_table(spark, d):
     return P.session_table(fees, "l_orderkey", "l_linestatus", "l_returnflag", "q", ["A", "N", "R"]).withColumnsRenamed({"A": "am", "N": "pm", "R": "full_day"})
 
 
-@query("WITH q AS (SELECT p_partkey, substr(p_type, 1, 1 + p_partkey % 9) AS prefix FROM part), k AS (SELECT DISTINCT upper(n_name) AS code FROM nation) SELECT p_partkey, prefix, code FROM q JOIN k ON replace(upper(prefix), ' ', '') <> '' AND starts_with(code, replace(upper(prefix), ' ', ''))")
+@query("""WITH q AS (SELECT p_partkey, CASE WHEN p_size > 1 THEN substr(p_brand, 1, 3) || ' ' || substr(p_brand, 4, p_partkey % 5) ELSE ' ' END AS prefix FROM part), k AS (SELECT DISTINCT upper(p_brand) AS code FROM part)
+SELECT p_partkey, prefix, code FROM q JOIN k ON replace(prefix, ' ', '') <> '' AND starts_with(code, replace(upper(prefix), ' ', ''))""")
 def prefix_search(spark, d):
-    q = table(spark, d, "part").select("p_partkey", F.substr("p_type", F.lit(1), (1 + c("p_partkey") % 9).cast("int")).alias("prefix"))
-    return P.by_prefix(q, "prefix", table(spark, d, "nation").select(F.upper("n_name").alias("code")), "code")
+    p = table(spark, d, "part")
+    split = F.concat(F.substring("p_brand", 1, 3), F.lit(" "), F.substr("p_brand", F.lit(4), (c("p_partkey") % 5).cast("int")))
+    q = p.select("p_partkey", F.when(c("p_size") > 1, split).otherwise(" ").alias("prefix"))
+    return P.by_prefix(q, "prefix", p.select(F.upper("p_brand").alias("code")), "code")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'E' || c_nationkey ELSE 'W' || c_nationkey END AS area, c_custkey % 3 <> 0 OR c_custkey % 4 = 1 AS working, c_custkey % 5 NOT IN (0, 1) AS receives_benefits,
