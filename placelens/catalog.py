@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from placelens.plans import costs, documents, places, records, relational, reports, search, texts
+from placelens.plans import costs, documents, listings, places, records, relational, reports, search, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (relational, search, texts, costs, documents, places, records, reports):
+for _plans in (relational, search, texts, costs, documents, places, records, reports, listings):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL
