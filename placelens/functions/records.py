@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,3 +141,28 @@ def merged_json(first: Column, second: Column) -> Column:
 def json_list(c: Column) -> Column:
     """The strings of a JSON list; anything else is an empty list."""
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def _leaves(texts: pd.Series) -> pd.Series:
+    def flat(text):
+        try:
+            root = json.loads(text) if text else None
+        except ValueError:
+            return []
+        found, todo = [], [("", root)] if isinstance(root, (dict, list)) else []
+        while todo:
+            path, x = todo.pop()
+            if isinstance(x, dict):
+                todo += [(f"{path}.{k}" if path else k, v) for k, v in reversed(x.items())]
+            elif isinstance(x, list):
+                todo += [(f"{path}[{i}]", x[i]) for i in reversed(range(len(x)))]
+            elif x is not None and x != "":
+                found.append({"path": path, "value": x if isinstance(x, str) else json.dumps(x)})
+        return found
+
+    return texts.map(flat)
+
+
+def json_leaves(text: Column) -> Column:
+    """(path, value) of each leaf of a JSON document in its order, as a.b[0].c; nulls and empty texts, lists and objects give none, nor does what is no document."""
+    return F.pandas_udf(_leaves, "array<struct<path:string,value:string>>")(F.coalesce(text, F.lit("")))

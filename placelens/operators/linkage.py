@@ -59,3 +59,31 @@ def link(left: DataFrame, right: DataFrame, thresholds: tuple[float, float] = (0
     method = F.when(F.col("tier").isNotNull(), F.get(F.array(*map(F.lit, methods)), F.col("tier")))
     joined = left.select("id").join(found, "id", "left")
     return joined.select("id", "match_id", F.coalesce(method, F.lit("unmatched")).alias("method"), F.round("ratio", 4).alias("confidence"))
+
+
+def match_schools(left: DataFrame, right: DataFrame, gate: float = 0.75) -> DataFrame:
+    """(id, match_id, method, confidence) by five passes, the first that finds one wins; null where none does.
+
+    Columns of both: id, name, core (the name's core), postcode. Passes: name and
+    postcode; name; core, unless both postcodes are known and differ; the most
+    similar core at the postcode from the gate on; the only record at the postcode.
+    Of equals the least id. Each side of a join has one row per key but in the
+    fourth pass, which compares cores at one postcode for records still unmatched;
+    records without a postcode take no part in it.
+    """
+    c = F.col
+    least = lambda df, *keys: df.groupBy(*keys).agg(F.min("id").alias("match_id"))
+    known, placed = right.where("postcode is not null"), left.where("postcode is not null")
+    found = lambda df, tier, ratio: df.select("id", "match_id", F.lit(tier).alias("tier"), F.lit(ratio).alias("ratio"))
+    exact = found(placed.join(least(known, "name", "postcode"), ["name", "postcode"]), 0, 1.0).unionByName(found(left.join(least(right, "name"), "name"), 1, 0.95))
+    cores = placed.join(least(known, "core", "postcode"), ["core", "postcode"]).select("id", "match_id")
+    cores = cores.union(placed.join(least(right.where("postcode is null"), "core"), "core").select("id", "match_id"))
+    cores = cores.union(left.where("postcode is null").join(least(right, "core"), "core").select("id", "match_id"))
+    sure = exact.unionByName(found(cores, 2, 0.92))
+    rest = placed.join(sure.select("id").distinct(), "id", "left_anti")
+    named = lambda df: df.select("id", "postcode", c("core").alias("name"))
+    near = fuzzy_in_block(named(rest), named(known), ["postcode"], gate).withColumn("tier", F.lit(3))
+    sole = known.groupBy("postcode").agg(F.count("*").alias("n"), F.min("id").alias("match_id")).where("n = 1")
+    best = best_match(sure.unionByName(near.select(*sure.columns)).unionByName(found(rest.join(sole, "postcode"), 4, 0.85)))
+    methods = F.array(*map(F.lit, ("exact_name_postcode", "exact_name", "core_name_postcode", "core_similarity", "sole_postcode_match")))
+    return left.select("id").join(best, "id", "left").select("id", "match_id", F.get(methods, c("tier")).alias("method"), F.round("ratio", 3).alias("confidence"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from placelens.functions import records
 from placelens.operators import household, linkage
 from placelens.operators import listings as L
 from placelens.plans.base import table
@@ -169,3 +170,27 @@ def monthly_costs(spark, d):
     low = c("l_quantity").cast("double")
     high = F.when(c("l_linenumber") == 1, low).otherwise(low + 2)
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", household.monthly_display(low, high).alias("shown"))
+
+
+_ENTRIES = """SELECT c_custkey AS id, c_mktsegment || CAST(c_custkey % 90 AS STRING) AS name, 'q' || CAST(c_custkey % 70 AS STRING) AS core, CASE WHEN c_custkey % 6 <> 0 THEN CAST(c_nationkey * 40 + c_custkey % 40 AS STRING) END AS postcode FROM customer"""
+_SCHOOLS = """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'AUTOMOBILE' END || CAST(s_suppkey % 60 AS STRING) AS name, 'q' || CAST(s_suppkey % 50 AS STRING) AS core, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_nationkey * 40 + s_suppkey % 40 AS STRING) END AS postcode FROM supplier"""
+
+
+@query(f"""WITH l AS ({_ENTRIES}), r AS ({_SCHOOLS}),
+p AS (SELECT l.id, r.id AS match_id, 0 AS tier FROM l JOIN r ON l.name = r.name AND l.postcode = r.postcode UNION ALL SELECT l.id, r.id, 1 FROM l JOIN r ON l.name = r.name
+ UNION ALL SELECT l.id, r.id, 2 FROM l JOIN r ON l.core = r.core AND (l.postcode = r.postcode OR l.postcode IS NULL OR r.postcode IS NULL)
+ UNION ALL SELECT l.id, r.id, 4 FROM l JOIN (SELECT postcode, min(id) AS id FROM r GROUP BY 1 HAVING count(*) = 1) r ON l.postcode = r.postcode),
+b AS (SELECT id, min((tier, match_id)) AS x FROM (SELECT id, tier, match_id FROM p) GROUP BY 1), f AS (SELECT l.id, x[2] AS match_id, x[1] AS tier FROM l LEFT JOIN (SELECT id, [x[1], x[2]] AS x FROM b) b USING (id))
+SELECT id, match_id, CASE tier WHEN 0 THEN 'exact_name_postcode' WHEN 1 THEN 'exact_name' WHEN 2 THEN 'core_name_postcode' WHEN 4 THEN 'sole_postcode_match' END AS method, CASE tier WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.92 WHEN 4 THEN 0.85 END::DOUBLE AS confidence FROM f""".replace("AS STRING", "AS VARCHAR"))
+def matched_schools(spark, d):
+    """Cores are codes here, which are alike or not: the pass by similarity is set to find none."""
+    left = spark.sql(_ENTRIES.replace("FROM customer", "FROM {rows}"), rows=table(spark, d, "customer"))
+    right = spark.sql(_SCHOOLS.replace("FROM supplier", "FROM {rows}"), rows=table(spark, d, "supplier"))
+    return linkage.match_schools(left, right, gate=1.01)
+
+
+@query(f"""SELECT id, 'name' AS path, name AS "value" FROM ({_PARTS}) UNION ALL SELECT id, 'ages.low', a::VARCHAR FROM ({_PARTS}) UNION ALL SELECT id, 'ages.days[1]', 'mon' FROM ({_PARTS})
+UNION ALL SELECT id, 'ages.days[2].open', 'true' FROM ({_PARTS})""")
+def json_leaves(spark, d):
+    p = _parts(spark, d).withColumn("t", F.expr("""concat('{"name": "', name, '", "none": null, "empty": "", "ages": {"low": ', a, ', "days": [null, "mon", {"open": true, "at": []}]}}')"""))
+    return p.select("id", F.explode(records.json_leaves(c("t"))).alias("x")).select("id", "x.*")

@@ -19,7 +19,7 @@ _PARTS = "SELECT p_partkey AS id, p_partkey % 5 AS kind, p_size AS a, 100000 + p
 def _parts(spark, d, *texts: str):
     """Parts with a text t by kind; a kind without a text has null."""
     cases = " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(texts))
-    return from_sql(spark, d, _PARTS, "part").withColumn("t", F.expr(f"CASE kind {cases} END"))
+    return from_sql(spark, d, _PARTS, "part").withColumn("t", F.expr(f"CASE kind {cases} END" if cases else "string(null)"))
 
 
 @query(f"SELECT id, CASE kind WHEN 0 THEN 'AB' || a || ' 2CD' WHEN 1 THEN 'M1 1AE' WHEN 2 THEN 'ZZ' WHEN 3 THEN '' END AS postcode, kind = 1 AS valid FROM ({_PARTS})")

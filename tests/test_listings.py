@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from placelens.functions import records
+from placelens.operators import linkage
 from placelens.operators import listings as L
 
 
@@ -82,3 +84,21 @@ def test_labels_and_checks(spark):
     index = spark.createDataFrame([(1, "a")], "k int, v string")
     features = spark.createDataFrame([(1, "E01234567"), (1, "X01234567"), (2, "E01234567"), (1, None)], "k int, code string")
     assert _got(L.indexed_features(features, index, "k", "code")) == [(1, "E01234567", "a")]
+
+
+def test_match_schools(spark):
+    schema = "id int, name string, core string, postcode string"
+    left = [(1, "oak school", "oak", "A1"), (2, "oak school", "oak", "B1"), (3, "the elm", "elm", None), (4, "ashe grove x", "ashe grove", "C1"), (5, "zzz", "zzz", "D1"), (6, "zzz", "zzz", "Z9"), (7, None, None, None)]
+    right = [(10, "oak school", "oak", "A1"), (11, "elm", "elm", "E1"), (12, "ash grove", "ash grove", "C1"), (13, "new", "new", "D1"), (14, "oak school", "oak", "A1"), (15, "w", "w", "C1")]
+    got = linkage.match_schools(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
+    assert _got(got) == [
+        (1, 10, "exact_name_postcode", 1.0), (2, 10, "exact_name", 0.95), (3, 11, "core_name_postcode", 0.92), (4, 12, "core_similarity", 0.947),
+        (5, 13, "sole_postcode_match", 0.85), (6, None, None, None), (7, None, None, None),
+    ]
+
+
+def test_json_leaves(spark):
+    deep = "[" * 300 + "1" + "]" * 300
+    texts = ['{"a": {"b": [1, "", {"c": "x"}]}, "d": null, "e": [], "f": 2.5}', "not json", None, '"x"', "[]", deep]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(records.json_leaves(F.col("t"))).collect()
+    assert [[tuple(x) for x in r[0]] for r in got] == [[("a.b[0]", "1"), ("a.b[2].c", "x"), ("f", "2.5")], [], [], [], [], [("[0]" * 300, "1")]]
