@@ -6,17 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelens.functions import geo
-from placelens.functions.similarity import length_bound, similarity
-
-
-def fuzzy_in_block(left: DataFrame, right: DataFrame, block: list[str], threshold: float) -> DataFrame:
-    """(id, match_id, ratio) of names within a block that reach the threshold; left's name is the query.
-
-    The block key makes this an equi-join; pairs whose lengths rule the threshold out never reach the Python function.
-    """
-    r = right.select(*block, F.col("id").alias("match_id"), F.col("name").alias("match_name"))
-    pairs = left.select("id", "name", *block).join(r, block).where(length_bound(F.col("name"), F.col("match_name"), threshold))
-    return pairs.withColumn("ratio", similarity("name", "match_name")).where(F.col("ratio") >= threshold).select("id", "match_id", "ratio")
+from placelens.functions.similarity import similarity
+from placelens.operators import scratch
+from placelens.operators.similar import best_similar
 
 
 def best_match(candidates: DataFrame) -> DataFrame:
@@ -44,15 +36,15 @@ def link(left: DataFrame, right: DataFrame, thresholds: tuple[float, float] = (0
 
     Columns of both: id, urn, name (normalised), postcode, area. Returns one row per
     record of left: id, match_id, method, confidence. A later tier is computed only
-    for records that earlier tiers left unmatched.
+    for records that earlier tiers left unmatched, whose matches are written.
     """
     methods = ("urn_exact", "postcode_name", "area_name", "unique_name")
     rest = left if skip is None else left.where(~skip)
     found = rest.where("urn is not null").join(right.where("urn is not null").groupBy("urn").agg(F.min("id").alias("match_id")), "urn").select("id", "match_id", F.lit(0).alias("tier"), F.lit(1.0).alias("ratio"))
     for tier, (block, threshold) in enumerate(((["postcode"], thresholds[0]), (["area"], thresholds[1])), 1):
         rest = rest.join(found.select("id"), "id", "left_anti")
-        some = fuzzy_in_block(rest.where(F.col(block[0]).isNotNull()), right.where(F.col(block[0]).isNotNull()), block, threshold)
-        found = found.unionByName(best_match(some.withColumn("tier", F.lit(tier))))
+        named = lambda df: df.select("id", *block, F.col("name").alias("text"))
+        found = scratch.written(found.unionByName(best_similar(named(rest), named(right), block, threshold).withColumn("tier", F.lit(tier))))
     rest = rest.join(found.select("id"), "id", "left_anti")
     once = unique_names(right).select("name", F.col("id").alias("match_id"))
     found = found.unionByName(rest.join(once, "name").select("id", "match_id", F.lit(3).alias("tier"), F.lit(1.0).alias("ratio")))
@@ -79,10 +71,10 @@ def match_schools(left: DataFrame, right: DataFrame, gate: float = 0.75) -> Data
     cores = placed.join(least(known, "core", "postcode"), ["core", "postcode"]).select("id", "match_id")
     cores = cores.union(placed.join(least(right.where("postcode is null"), "core"), "core").select("id", "match_id"))
     cores = cores.union(left.where("postcode is null").join(least(right, "core"), "core").select("id", "match_id"))
-    sure = exact.unionByName(found(cores, 2, 0.92))
+    sure = scratch.written(exact.unionByName(found(cores, 2, 0.92)))
     rest = placed.join(sure.select("id").distinct(), "id", "left_anti")
-    named = lambda df: df.select("id", "postcode", c("core").alias("name"))
-    near = fuzzy_in_block(named(rest), named(known), ["postcode"], gate).withColumn("tier", F.lit(3))
+    named = lambda df: df.select("id", "postcode", c("core").alias("text"))
+    near = best_similar(named(rest), named(known), ["postcode"], gate).withColumn("tier", F.lit(3))
     sole = known.groupBy("postcode").agg(F.count("*").alias("n"), F.min("id").alias("match_id")).where("n = 1")
     best = best_match(sure.unionByName(near.select(*sure.columns)).unionByName(found(rest.join(sole, "postcode"), 4, 0.85)))
     methods = F.array(*map(F.lit, ("exact_name_postcode", "exact_name", "core_name_postcode", "core_similarity", "sole_postcode_match")))
