@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from placelens.plans import areas, costs, documents, listings, places, records, relational, reports, search, texts
+from placelens.plans import areas, costs, documents, linkages, listings, places, records, relational, reports, search, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (areas, relational, search, texts, costs, documents, places, records, reports, listings):
+for _plans in (areas, linkages, relational, search, texts, costs, documents, places, records, reports, listings):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL

@@ -39,6 +39,7 @@ def link(left: DataFrame, right: DataFrame, thresholds: tuple[float, float] = (0
     for records that earlier tiers left unmatched, whose matches are written.
     """
     methods = ("urn_exact", "postcode_name", "area_name", "unique_name")
+    left, right = scratch.written(left), scratch.written(right)  # each is read for every tier
     rest = left if skip is None else left.where(~skip)
     found = rest.where("urn is not null").join(right.where("urn is not null").groupBy("urn").agg(F.min("id").alias("match_id")), "urn").select("id", "match_id", F.lit(0).alias("tier"), F.lit(1.0).alias("ratio"))
     for tier, (block, threshold) in enumerate(((["postcode"], thresholds[0]), (["area"], thresholds[1])), 1):

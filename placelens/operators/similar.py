@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelens.functions.similarity import similarity
+from placelens.operators import scratch
 
 _EPS = 1e-9
 
@@ -32,7 +33,8 @@ def numbered_grams(text: Column, q: int) -> Column:
     n = F.length(text) - q + 1
     grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring(text, k, F.lit(q)))).otherwise(F.array().cast("array<string>"))
     before = lambda g, x, k: F.size(F.filter(F.slice(g, F.lit(1), k), lambda y: y == x))
-    return F.transform(grams, lambda x, k: F.concat(F.lit(str(q)), x, F.lit("\0"), before(grams, x, k).cast("string")))
+    number = lambda g: F.transform(g, lambda x, k: F.concat(F.lit(str(q)), x, F.lit("\0"), before(g, x, k).cast("string")))
+    return F.get(F.transform(F.array(grams), number), F.lit(0))  # the array of one makes the grams a variable, computed once
 
 
 def gram_size(threshold: float) -> int:
@@ -56,7 +58,7 @@ def _prefix_sizes(threshold: float, n: Column) -> list[tuple[int, Column]]:
 
 
 def _listed(texts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """text -> prefix (its rarest grams), grams by character. Rarity is counted over known."""
+    """text -> prefix, its rarest grams. Rarity is counted over known."""
     n = F.length("text")
     sizes = _prefix_sizes(threshold, n)
     every = lambda df: df.select("text", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), numbered_grams(F.col("text"), q).alias("grams")) for q, _ in sizes))).alias("m")).select("text", "m.q", F.explode("m.grams").alias("gram"))
@@ -64,30 +66,42 @@ def _listed(texts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     ranked = every(texts).join(often, "gram", "left").groupBy("text", "q").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("grams"))
     size = F.coalesce(*(F.when(F.col("q") == q, s) for q, s in sizes))
     ranked = ranked.withColumn("size", size).where("size > 0").select("text", F.transform(F.slice("grams", F.lit(1), F.least(F.col("size").cast("int"), F.size("grams"))), lambda g: g["gram"]).alias("grams"))
-    prefix = ranked.groupBy("text").agg(F.flatten(F.collect_list("grams")).alias("prefix"))
-    return prefix.withColumn("characters", numbered_grams(F.col("text"), 1))
+    return ranked.groupBy("text").agg(F.flatten(F.collect_list("grams")).alias("prefix"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold: float) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold: float, few: int = 64) -> DataFrame:
     """Each pair of different rows' texts within a block that reaches the threshold, once: block, text (left), match_text, ratio.
 
     Both have block and text. Null and empty texts and null blocks match nothing. Texts are compared
-    once however many rows have them.
+    once however many rows have them. In blocks with few texts on the right each text of the left meets
+    all of them, which is linear in the left side; in the others texts meet by the index.
     """
-    rows = lambda df: df.select(*block, "text").where("text <> ''").dropna(subset=block).distinct()
+    # texts are few bytes and much work: a number of partitions keeps adaptive execution from joining them into one task
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lambda df: scratch.written(df.select(*block, "text").where("text <> ''").dropna(subset=block).distinct().repartition(tasks, "text").withColumn("characters", numbered_grams(F.col("text"), 1)))
     left, right = rows(left), rows(right)
-    grams = _listed(left.select("text").union(right.select("text")).distinct(), right.select("text").distinct(), threshold)
-    keyed = lambda df: df.join(grams, "text").withColumn("gram", F.explode("prefix"))
-    other = keyed(right).select(*block, "gram", F.col("text").alias("match_text"), F.col("prefix").alias("other_prefix"), F.col("characters").alias("other_characters"))
-    met = keyed(left).join(other, [*block, "gram"])
-    once = F.element_at(F.array_intersect("prefix", "other_prefix"), 1) == F.col("gram")  # a pair counts where it meets first
+    sizes = scratch.written(right.groupBy(*block).agg(F.count("*").alias("_texts")))
+    other = right.join(sizes.where(F.col("_texts") <= few).select(*block), block).select(*block, F.col("text").alias("match_text"), F.col("characters").alias("other_characters"))
+    met = left.join(other, block)
+    crowded = sizes.where(F.col("_texts") > few).select(*block)
+    if not crowded.isEmpty():
+        met = met.unionByName(_met_by_grams(left.join(crowded, block, "left_semi"), right.join(crowded, block, "left_semi"), block, threshold))
     total = F.size("characters") + F.size("other_characters")
     long_enough = 2 * F.least(F.size("characters"), F.size("other_characters")) >= threshold * total - _EPS
     shared = 2 * F.size(F.array_intersect("characters", "other_characters")) >= threshold * total - _EPS
-    pairs = met.where(long_enough & once & shared).select(*block, "text", "match_text")
+    pairs = met.where(long_enough & shared).select(*block, "text", "match_text").repartition(tasks, "text", "match_text")
     return pairs.withColumn("ratio", similarity("text", "match_text")).where(F.col("ratio") >= threshold)
 
 
+def _met_by_grams(left: DataFrame, right: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """Pairs that share one of their listed grams, each once."""
+    grams = scratch.written(_listed(left.select("text").union(right.select("text")).distinct(), right.select("text").distinct(), threshold))
+    keyed = lambda df: df.join(grams, "text").withColumn("gram", F.explode("prefix"))
+    other = keyed(right).select(*block, "gram", F.col("text").alias("match_text"), F.col("prefix").alias("other_prefix"), F.col("characters").alias("other_characters"))
+    once = F.element_at(F.array_intersect("prefix", "other_prefix"), 1) == F.col("gram")  # a pair counts where it meets first
+    return keyed(left).join(other, [*block, "gram"]).where(once).select(*block, "text", "characters", "match_text", "other_characters")
+
+
 def best_similar(left: DataFrame, right: DataFrame, block: list[str], threshold: float, where: Column | None = None) -> DataFrame:
     """(id, match_id, ratio): per row of left the most similar text of right in its block, of equals the least match_id.
 

@@ -21,11 +21,11 @@ def _texts(seed, n):
     return out + ["", None, "a", "ab", "ba", "aa", "aaaa", "aaab", "abab", "baba", "x" * 220, "x" * 215 + "yzyzy", "abc " * 60, "abd " * 60]
 
 
-@pytest.mark.parametrize("threshold", [0.55, 0.75, 0.8, 0.85, 0.92, 1.0])
-def test_no_pair_is_missed(spark, threshold):
+@pytest.mark.parametrize(("threshold", "few"), [(0.55, 0), (0.75, 0), (0.8, 0), (0.85, 0), (0.92, 0), (1.0, 0), (0.8, 64), (0.8, 10**6)])
+def test_no_pair_is_missed(spark, threshold, few):
     left, right = _texts(1, 60), _texts(2, 60)
     df = lambda texts: spark.createDataFrame([(k % 2 if k % 17 else None, t) for k, t in enumerate(texts)], "area int, text string")
-    got = {(r.area, r.text, r.match_text): r.ratio for r in similar.similar_pairs(df(left + left[:9] * 2), df(right + left[:30:2]), ["area"], threshold).collect()}
+    got = {(r.area, r.text, r.match_text): r.ratio for r in similar.similar_pairs(df(left + left[:9] * 2), df(right + left[:30:2]), ["area"], threshold, few).collect()}
     want = {}
     for i, a in enumerate(left + left[:9] * 2):
         for j, b in enumerate(right + left[:30:2]):
@@ -47,6 +47,6 @@ def test_best(spark):
 def test_one_name_does_not_meet_itself_many_times(spark):
     """Rows that share a text are compared once."""
     rows = spark.range(3000).selectExpr("id", "'p' AS postcode", "'the same name' AS text")
-    assert similar.similar_pairs(rows, rows, ["postcode"], 0.8).count() == 1
+    assert similar.similar_pairs(rows, rows, ["postcode"], 0.8, few=0).count() == 1
     best = similar.best_similar(rows, rows, ["postcode"], 0.8)
     assert best.count() == 3000 and best.where("match_id <> 0").count() == 0
