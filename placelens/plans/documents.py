@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from placelens.operators import publish, scratch, spatial
@@ -9,6 +11,7 @@ from placelens.plans.base import providers, table, viewports
 from placelens.plans.registry import registry
 from placelens.sources import html
 from placelens.streaming import events as stream
+from placelens.streaming import intake
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -41,3 +44,41 @@ def streamed_hourly_counts(spark, d):
     stream.load_available(stream.deduplicated(incoming, late="3650 days"), f"{where}/out", f"{where}/state").awaitTermination()
     rows = spark.read.parquet(f"{where}/out")
     return rows.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count("*").alias("n"))
+
+
+_LOADED_SQL = "SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 14 DAY"
+
+
+def _loaded(spark, d):
+    """Events pulled into a table from 14 days before 20 January on, then pulled again, which finds nothing new."""
+    where, source = scratch.shared_path(spark, "intake"), table(spark, d, "events")
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    for _ in range(2):
+        incoming = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+        intake.pull(incoming, where, "event_id", "ts", dt.datetime(2024, 1, 20), first_days=14).awaitTermination()
+    return where, intake.stored(spark, where, schema)
+
+
+@query(f"SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM ({_LOADED_SQL}) GROUP BY 1, 2")
+def pulled_events(spark, d):
+    return _loaded(spark, d)[1].groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"SELECT 1 AS n_batches, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 14 DAY) AS loaded, count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-20' - INTERVAL 14 DAY) AS late, 0 AS repeated, max(ts) AS cursor FROM events")
+def intake_log(spark, d):
+    rows = intake.log(spark, _loaded(spark, d)[0])
+    return rows.agg(F.count("*").alias("n_batches"), F.sum("loaded").alias("loaded"), F.sum("late").alias("late"), F.sum("repeated").alias("repeated"), F.max("cursor").cast("timestamp_ntz").alias("cursor"))
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS begins FROM events), s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n_events, round(sum(value), 4) AS value FROM s GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    rows = stream.session_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n_events", F.round("value", 4).alias("value"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    rows = stream.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
