@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from placelens.operators import publish, scratch, spatial
 from placelens.plans.base import providers, table, viewports
 from placelens.plans.registry import registry
-from placelens.sources import html
+from placelens.sources import html, sheets
 from placelens.streaming import events as stream
 from placelens.streaming import intake
 
@@ -82,3 +82,12 @@ def event_sessions(spark, d):
 def event_windows(spark, d):
     rows = stream.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier WHERE s_nationkey IN (3, 7) AND s_name LIKE 'Supplier#0000%'")
+def workbook_rows(spark, d):
+    """Suppliers written to workbooks in the shared folder and read again by two partitions of each, with both filters in the reader."""
+    where = scratch.shared_path(spark, "workbooks")
+    sheets.write_xlsx(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), where).count()
+    rows = sheets.register(spark).read.format("sheet").schema("s_suppkey string, s_name string, s_nationkey string").option("parts", 2).load(where)
+    return rows.where("s_nationkey IN ('3', '7') AND s_name LIKE 'Supplier#0000%'").select("s_suppkey", "s_name")

@@ -27,9 +27,14 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def xlsx_rows(data: bytes, sheet: str | None = None) -> Iterator[list[str | None]]:
-    """Rows of a sheet by its name, else of the first, as strings."""
-    z = zipfile.ZipFile(io.BytesIO(data))
+def _zip(data) -> zipfile.ZipFile:
+    """Of bytes or an open file, of which only what is read is fetched."""
+    return zipfile.ZipFile(data if hasattr(data, "read") else io.BytesIO(data))
+
+
+def xlsx_rows(data, sheet: str | None = None, wanted: Callable[[int], bool] = lambda k: True) -> Iterator[list[str | None]]:
+    """Rows of a sheet by its name, else of the first, as strings; the text is streamed. Rows (from 0) that are not wanted are None."""
+    z = _zip(data)
     local = lambda e: e.tag.rpartition("}")[2]
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
@@ -41,9 +46,15 @@ def xlsx_rows(data: bytes, sheet: str | None = None) -> Iterator[list[str | None
     rel = next(v for k, v in picked.attrib.items() if k.endswith("}id"))
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     with z.open("xl/" + targets[rel].removeprefix("/xl/").removeprefix("xl/")) as f:
+        at = -1
         for _, row in ElementTree.iterparse(f):
             if local(row) != "row":
                 continue
+            at += 1
+            if not wanted(at):
+                row.clear()
+                yield None
+                continue
             out: dict[int, str | None] = {}
             for k, cell in enumerate(e for e in row if local(e) == "c"):
                 texts = {local(e): "".join(e.itertext()) for e in cell}
@@ -53,10 +64,10 @@ def xlsx_rows(data: bytes, sheet: str | None = None) -> Iterator[list[str | None
             yield [out.get(k) for k in range(max(out, default=-1) + 1)]
 
 
-def ods_rows(data: bytes, sheet: str | None = None, longest_run: int = 100) -> Iterator[list[str | None]]:
+def ods_rows(data, sheet: str | None = None, longest_run: int = 100) -> Iterator[list[str | None]]:
     """Rows of a sheet; repeated cells and rows are expanded, runs over longest_run are padding and left out."""
     inside = False
-    with zipfile.ZipFile(io.BytesIO(data)).open("content.xml") as f:
+    with _zip(data).open("content.xml") as f:
         for event, e in ElementTree.iterparse(f, ("start", "end")):
             if e.tag == _ODS["table"] + "table":
                 if event == "start":
