@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placelens.operators import relational
+
 #: Hourly minimum wages by age bracket; apprentices get the youngest bracket's.
 WAGES = {"21+": 12.71, "18-20": 10.85, "16-17": 8.0}
 APPRENTICE = "16-17"
@@ -52,9 +54,7 @@ def issues(rows: DataFrame, key: str, checks: list[tuple[str, str, Column]]) ->
 
 def issue_summary(found: DataFrame, key: str, samples: int = 10) -> DataFrame:
     """(path, code, n, sample): how often, and the least `samples` keys; a report's samples, not a cap on counts."""
-    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("path", "code").orderBy(key)))
-    few = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= samples, F.col(key)))), lambda x: x.cast("string")), ",")
-    return ranked.groupBy("path", "code").agg(F.count("*").alias("n"), few.alias("sample"))
+    return relational.samples(found, ["path", "code"], key, samples, distinct=False)
 
 
 def validated(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelens.functions.text import POSTCODE
+from placelens.operators import relational
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -45,4 +46,4 @@ def provider_rules(name: Column, postcode: Column, address: Column, city: Column
 
 def summary(broken: DataFrame, key: str, samples: int = 3) -> DataFrame:
     """Rules with how often they are broken and the first few keys."""
-    return broken.groupBy("rule").agg(F.count("*").alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(key)), 1, samples), lambda x: x.cast("string")), ",").alias("sample"))
+    return relational.samples(broken, ["rule"], key, samples)

@@ -12,11 +12,25 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """k rows of each key. The rank alone is tested, so that each task cuts its rows to k a key before they move."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """k rows of each key with rank, and whether there were more."""
+    """k rows of each key with rank, and whether there were more. One row more than k is kept to tell."""
     w = Window.partitionBy(*keys)
-    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("overflow", F.count("*").over(w) > k)
-    return ranked.where(F.col("rank") <= k)
+    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(*order))).where(F.col("rank") <= k + 1)
+    return ranked.withColumn("overflow", F.max("rank").over(w) > k).where(F.col("rank") <= k)
+
+
+def samples(df: DataFrame, keys: list[str], value: str, k: int, distinct: bool = True) -> DataFrame:
+    """keys, n (rows) and sample: the k least (distinct) values as strings, comma-joined. Each task sends k values of a key at most."""
+    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    least = df.select(*keys, value).where(F.col(value).isNotNull())
+    least = least.distinct() if distinct else least
+    few = first_k(least, keys, [F.col(value)], k).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.cast("string")), ",").alias("sample"))
+    return n.join(few, keys, "left").withColumn("sample", F.coalesce("sample", F.lit("")))
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -48,14 +48,6 @@ def later_non_null(df: DataFrame, keys: list[str], order: str, columns: list[str
     return df.groupBy(*keys).agg(*(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns))
 
 
-def row_ranges(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, first, n): where the rows of each key lie in a table ordered by key and order, counted from 0. Only counts meet in one task."""
-    from pyspark.sql import Window
-
-    n = df.groupBy(key).agg(F.count("*").alias("n"))
-    return n.select(key, (F.sum("n").over(Window.orderBy(key)) - F.col("n")).alias("first"), "n")
-
-
 def fee(own: Column, fallback: Column, area: Column) -> Column:
     """struct(amount, source): the provider's fee, its fallback band's, the area's average, else zero."""
     options = [("provider", own), ("provider_band", fallback), ("area", area)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelens.functions import geo
-from placelens.operators import scratch
+from placelens.operators import relational, scratch
 
 BOX = ("bbox_south", "bbox_west", "bbox_north", "bbox_east")
 
@@ -54,8 +54,7 @@ def _hits(providers: DataFrame, queries: DataFrame, rect: tuple, limit: int) ->
     joined = _cells(providers, extent(), every_level=False).join(looked, ["_level", "_gy", "_gx"]).where(geo.overlaps(extent(), rect))
     one = joined.dropDuplicates(["query_id", "provider_id"])  # hits only are shuffled, not all providers
     located = one.withColumn("is_box", F.col("bbox_south").isNotNull()).withColumn("km", distance_km((F.col("q_lat"), F.col("q_lon"))))
-    w = Window.partitionBy("query_id", "is_box")
-    return located.withColumn("rank", F.row_number().over(w.orderBy("km", "provider_id"))).withColumn("more", F.count("*").over(w) > limit).where(F.col("rank") <= limit)
+    return relational.top_k(located, ["query_id", "is_box"], [F.col("km"), F.col("provider_id")], limit).withColumnRenamed("overflow", "more")
 
 
 def spatial_search(providers: DataFrame, queries: DataFrame, limit: int = 500, inflation: float = 1.0, mask: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placelens.operators import decisions, publish, relational, resolve
+from placelens.operators import decisions, indexed, publish, relational, resolve
 from placelens.operators import reporting as R
 from placelens.plans.base import PROVIDERS_SQL, from_sql, providers, table
 from placelens.plans.registry import registry
@@ -57,7 +57,7 @@ def cost_columns(spark, d):
 
 @query("SELECT o_custkey, CAST(sum(n) OVER (ORDER BY o_custkey) - n AS BIGINT) AS first, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
 def row_ranges(spark, d):
-    return resolve.row_ranges(table(spark, d, "orders"), "o_custkey", ["o_orderkey"]).select("o_custkey", c("first").cast("long").alias("first"), "n")
+    return indexed.row_ranges(table(spark, d, "orders"), "o_custkey").select("o_custkey", c("first").cast("long").alias("first"), "n")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 7.5 WHEN s IS NOT NULL THEN s ELSE 0 END AS amount, CASE WHEN c_custkey % 3 = 0 THEN 'provider' WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 'provider_band' WHEN s IS NOT NULL THEN 'area' ELSE 'none' END AS source

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placelens.functions import geo
-from placelens.operators import spatial
+from placelens.operators import indexed, scratch, spatial
 from placelens.plans.base import PROVIDERS_SQL, VIEWPORTS_SQL, providers, viewports
 from placelens.plans.registry import registry
 
@@ -103,3 +103,22 @@ def box_geometry(spark, d):
     lat, lon = geo.centre(box)
     wide = geo.inflate(*box)
     return viewports(spark, d).select("query_id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), F.round(wide[0], 6).alias("s"), F.round(wide[3], 6).alias("e"), F.round(geo.farthest_corner_km(F.col("q_lat"), F.col("q_lon"), box), 3).alias("far"))
+
+
+_BOX = (51.0, -3.5, 51.4, -3.0)
+
+
+@query(f"""WITH p AS ({PROVIDERS_SQL}) SELECT provider_id, CAST(coalesce(min_months, -1) AS INT) AS min_months, round(coalesce(bbox_south, lat), 6) AS south, round(coalesce(bbox_east, lon), 6) AS east FROM p
+WHERE coalesce(bbox_south, lat) <= {_BOX[2]} AND coalesce(bbox_north, lat) >= {_BOX[0]} AND coalesce(bbox_west, lon) <= {_BOX[3]} AND coalesce(bbox_east, lon) >= {_BOX[1]}""")
+def indexed_viewport(spark, d):
+    """Providers laid out along a curve in 16 files, of which the viewport reads those whose boxes it meets."""
+    where = scratch.shared_path(spark, "index")
+    indexed.write_index(providers(spark, d), where, 16)
+    return indexed.read_viewport(spark, where, _BOX).select("provider_id", "min_months", F.round("south", 6).alias("south"), F.round("east", 6).alias("east"))
+
+
+@query(f"""WITH p AS ({PROVIDERS_SQL}), q AS ({VIEWPORTS_SQL}) SELECT query_id, provider_id FROM p JOIN q ON coalesce(bbox_south, lat) <= north AND coalesce(bbox_north, lat) >= south AND coalesce(bbox_west, lon) <= east AND coalesce(bbox_east, lon) >= west""")
+def indexed_viewports(spark, d):
+    where = scratch.shared_path(spark, "index")
+    indexed.write_index(providers(spark, d), where, 16)
+    return indexed.read_viewports(spark, where, viewports(spark, d)).select("query_id", "provider_id")
