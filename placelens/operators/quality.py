@@ -47,3 +47,34 @@ def provider_rules(name: Column, postcode: Column, address: Column, city: Column
 def summary(broken: DataFrame, key: str, samples: int = 3) -> DataFrame:
     """Rules with how often they are broken and the first few keys."""
     return relational.samples(broken, ["rule"], key, samples)
+
+
+# Shapes, enumerations and limits of a provider's record.
+PHONE, EMAIL, AREA_CODE, WEB = "^0[0-9]{9,10}$", r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "^E[0-9]{8}$", "^https?://"
+RATINGS, FRAMEWORKS, SCHOOL_FRAMEWORKS = ("Outstanding", "Good", "Requires Improvement", "Inadequate"), ("legacy", "legacy_transition", "report_card"), ("report_card", "legacy_transition")
+STALE_DAYS, MOST_PLACES, MOST_PLACES_AT_HOME = 7 * 365, 500, 15
+
+
+def record_rules(today: Column, same_care: dict[str, str] | None = None) -> dict[str, Column]:
+    """Rules of a provider's record: "missing x" for a field that must be there, "x" for one that breaks its rule.
+
+    Columns: institution_type, lad25cd, phone, email, website, fis_url, rating, inspected (ISO text), framework,
+    safeguarding_met, places, care_types (array). same_care: kinds of care that count as one, by kind.
+    """
+    c = F.col
+    cares = F.filter(F.coalesce("care_types", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    groups = F.create_map(*(F.lit(x) for kv in (same_care or {"": ""}).items() for x in kv))
+    grouped = F.transform(cares, lambda x: F.coalesce(F.try_element_at(groups, x), x))
+    day = c("inspected").try_cast("date")
+    age = F.date_diff(today, day)
+    shape = lambda x, pattern: c(x).isNotNull() & ~c(x).rlike(pattern)
+    missing = {f"missing {x}": c(x).isNull() for x in ("lad25cd", "rating", "inspected", "framework", "places")}
+    own = c("institution_type") == "childminder"
+    return missing | {
+        "lad25cd": shape("lad25cd", AREA_CODE), "phone": shape("phone", PHONE), "email": shape("email", EMAIL), "website": shape("website", WEB), "fis_url": shape("fis_url", WEB),
+        "rating": ~c("rating").isin(*RATINGS), "framework": ~c("framework").isin(*FRAMEWORKS), "inspected_unreadable": c("inspected").isNotNull() & day.isNull(), "inspected_in_future": age < 0, "inspected_long_ago": age > STALE_DAYS,
+        "safeguarding_met": c("framework").isin(*SCHOOL_FRAMEWORKS) & c("safeguarding_met").isNull(),
+        "places": ~c("places").between(1, MOST_PLACES), "places_at_home": c("places").between(1, MOST_PLACES) & F.array_contains(grouped, "childminder") & (c("places") > MOST_PLACES_AT_HOME),
+        "no_care_type": F.coalesce(F.size("care_types"), F.lit(0)) < 1, "repeated_care_type": F.size(grouped) > F.size(F.array_distinct(grouped)),
+        "website_is_fis": c("website") == c("fis_url"), "institution_and_care": F.when(own, F.exists(cares, lambda x: x != "childminder")).otherwise(c("institution_type").isNotNull() & F.array_contains(cares, "childminder")),
+    }
