@@ -56,10 +56,15 @@ def area_name_variants(c: Column) -> Column:
 
 
 def distance_band(miles: Column) -> Column:
-    out = F.when(miles.isNull() | (miles < 0), "unknown")
-    for most, name in ((1, "<1"), (3, "1-3"), (5, "3-5"), (10, "5-10")):
+    out = F.when(miles.isNull(), "unknown")
+    for most, name in ((1, "<1mi"), (3, "1-3mi"), (5, "3-5mi"), (10, "5-10mi")):
         out = out.when(miles < most, name)
-    return out.otherwise("10+")
+    return out.otherwise("10+mi")
+
+
+def age_bands(months: Column) -> Column:
+    """The bands that ages in months fall into, each once, in order; none of no ages."""
+    return F.array_sort(F.array_distinct(F.transform(months, lambda m: F.when(m < 60, "0-4").otherwise("5+"))))
 
 
 def place_names(c: Column) -> Column:

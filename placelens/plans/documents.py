@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from placelens.operators import publish, scratch, spatial
 from placelens.plans.base import providers, table, viewports
 from placelens.plans.registry import registry
-from placelens.sources import html, sheets
+from placelens.sources import fixtures, html, sheets
 from placelens.streaming import events as stream
 from placelens.streaming import intake
 
@@ -91,3 +91,31 @@ def workbook_rows(spark, d):
     sheets.write_xlsx(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), where).count()
     rows = sheets.register(spark).read.format("sheet").schema("s_suppkey string, s_name string, s_nationkey string").option("parts", 2).load(where)
     return rows.where("s_nationkey IN ('3', '7') AND s_name LIKE 'Supplier#0000%'").select("s_suppkey", "s_name")
+
+
+def _loaded_documents(spark, d):
+    """Customers written as JSON lines and loaded: kinds by key modulo 3 have banded fees, a flat rate, or no care at all."""
+    where = scratch.shared_path(spark, "documents")
+    text = F.expr("""concat('{"id": "p', c_custkey, '", "name": "', c_name, '", "phone": "+44 ', c_custkey, '", "ofsted": {"rating": "Good"}', CASE c_custkey % 3
+      WHEN 0 THEN concat(', "careTypes": [{"type": "private_nursery", "fees": {"under2": {"fullDay": ', c_custkey % 90, '.5, "perHour": 7}, "age2": {"fullDay": 1}}, "openingHours": [{"days": "13", "open": "08:00", "close": "18:00"}]}, {"type": "holiday_club", "minimumCommitment": false}]')
+      WHEN 1 THEN concat(', "careTypes": [{"type": "breakfast_club", "fees": {"perSession": ', c_custkey % 7, '}}]') ELSE '' END, '}')""")
+    table(spark, d, "customer").select(text.alias("value")).write.text(where)
+    return fixtures.tables(fixtures.read_documents(spark, where))
+
+
+@query("""SELECT 'fixture:p' || id AS provider_id, care_type, no_minimum, age_band, full_day, per_hour, per_session FROM (SELECT c_custkey AS id, c_custkey % 3 AS k FROM customer), (VALUES (0, 'private_nursery', false, 'under2', -1.0, 7.0, NULL), (0, 'private_nursery', false, 'age2', 1.0, NULL, NULL), (0, 'holiday_club', true, NULL, NULL, NULL, NULL),
+ (1, 'breakfast_club', false, 'all', NULL, NULL, -1.0)) v(k2, care_type, no_minimum, age_band, full_day, per_hour, per_session) WHERE k = k2""".replace("full_day, per_hour, per_session FROM", "CASE WHEN full_day = -1 THEN id % 90 + 0.5 ELSE full_day END AS full_day, per_hour, CASE WHEN per_session = -1 THEN id % 7 ELSE per_session END AS per_session FROM"))
+def loaded_fees(spark, d):
+    t = _loaded_documents(spark, d)
+    return t["care_types"].join(t["fee_rates"], "care_type_id", "left").select("provider_id", "care_type", F.col("no_minimum_commitment").alias("no_minimum"), "age_band", "full_day", "per_hour", "per_session")
+
+
+@query("""WITH n AS (SELECT count(*) FILTER (WHERE c_custkey % 3 = 0) AS a, count(*) FILTER (WHERE c_custkey % 3 = 1) AS b, count(*) AS c FROM customer)
+SELECT 'providers' AS "table", c AS rows, 0 AS lost FROM n UNION ALL SELECT 'care_types', 2 * a + b, 0 FROM n UNION ALL SELECT 'opening_hours', a, 0 FROM n UNION ALL SELECT 'fee_rates', 2 * a + b, 0 FROM n""")
+def loaded_tables(spark, d):
+    t = _loaded_documents(spark, d)
+    rows = None
+    for name in ("providers", "care_types", "opening_hours", "fee_rates"):
+        n = t[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        rows = n if rows is None else rows.unionByName(n)
+    return rows.join(fixtures.orphans(t).withColumnRenamed("n", "lost"), "table", "left").select("table", "rows", F.coalesce("lost", F.lit(0)).alias("lost"))

@@ -46,11 +46,17 @@ def area_name_variants(spark, d):
     return p.select("id", F.array_join(R.area_name_variants(c("t")), "|").alias("some"))
 
 
-@query("SELECT o_orderkey, CASE WHEN m < 1 THEN '<1' WHEN m < 3 THEN '1-3' WHEN m < 5 THEN '3-5' WHEN m < 10 THEN '5-10' WHEN m IS NULL THEN 'unknown' ELSE '10+' END AS band FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 20000 END AS m FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN m < 1 THEN '<1mi' WHEN m < 3 THEN '1-3mi' WHEN m < 5 THEN '3-5mi' WHEN m < 10 THEN '5-10mi' WHEN m IS NULL THEN 'unknown' ELSE '10+mi' END AS band FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 20000 END AS m FROM orders)")
 def distance_bands(spark, d):
     return table(spark, d, "orders").select("o_orderkey", R.distance_band(F.when(c("o_orderstatus") != "P", c("o_totalprice") / 20000)).alias("band"))
 
 
+@query("SELECT o_orderkey, CASE WHEN k = 0 THEN '' WHEN bool_or(months < 60) AND bool_or(months >= 60) THEN '0-4|5+' WHEN bool_or(months < 60) THEN '0-4' ELSE '5+' END AS bands FROM (SELECT o_orderkey, o_orderkey % 4 AS k, unnest([o_custkey % 120, o_orderkey % 90, 59 + o_orderkey % 2]) AS months FROM orders) GROUP BY o_orderkey, k")
+def child_age_bands(spark, d):
+    ages = F.when(c("o_orderkey") % 4 != 0, F.array(c("o_custkey") % 120, c("o_orderkey") % 90, 59 + c("o_orderkey") % 2)).otherwise(F.array().cast("array<bigint>"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(R.age_bands(ages), "|").alias("bands"))
+
+
 @query(f"SELECT id, CASE kind WHEN 0 THEN 'Oak School|Elm Primary ' || a WHEN 1 THEN 'Ash|Fir Green' WHEN 2 THEN 'Yew' ELSE '' END AS places FROM ({_PARTS})")
 def place_names(spark, d):
     p = _parts(spark, d, """concat('["oak school", "ELM primary ', a, '", "Oak School"]')""", "'ash and fir green; ASH'", "' yew ,'", "''")
