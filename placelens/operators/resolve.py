@@ -57,3 +57,24 @@ def fee(own: Column, fallback: Column, area: Column) -> Column:
 def inspection_framework(report_card: Column, grade: Column, early_years: Column, ungraded: Column) -> Column:
     """Which framework an inspection follows: report card, graded, early years, ungraded outcome, else transition where there was any inspection."""
     return F.when(report_card.isNotNull(), "report_card").when(grade.isNotNull(), "legacy").when(early_years.isNotNull(), "early_years").when(ungraded.isNotNull(), "ungraded").otherwise("legacy_transition")
+
+
+def box_tier(places: DataFrame, boxes: DataFrame, names: DataFrame) -> DataFrame:
+    """places with geo_type, geo_code and status of the first box that stands in for a missing point, null where none does.
+
+    places: id, postcode, area (code), area_name; boxes: geo_type, geo_code; names: name, geo_type, geo_code. In turn: the
+    postcode; its district, or the postcode itself taken as one; the area's code; its name, of a county or an authority.
+    """
+    from placelens.functions.text import outward_code
+
+    c = F.col
+    trimmed = lambda x: F.when(F.trim(c(x)) != "", F.trim(c(x)))
+    code = F.upper(trimmed("postcode"))
+    steps = [("postcode", code, "bbox_postcode"), ("postcode_district", F.nullif(outward_code(code), F.lit("")), "bbox_postcode_district"), ("postcode_district", code, "bbox_postcode_district"), ("local_authority", trimmed("area"), "bbox_local_authority")]
+    options = F.array_compact(F.array(*(F.when(x.isNotNull(), F.struct(F.lit(k).alias("step"), F.lit(t).alias("geo_type"), x.alias("geo_code"), F.lit(s).alias("status"))) for k, (t, x, s) in enumerate(steps))))
+    tried = places.select("id", F.explode(options).alias("o")).select("id", "o.*").join(boxes.select("geo_type", "geo_code").distinct(), ["geo_type", "geo_code"])
+    status = F.when(c("geo_type") == "county", "bbox_county").otherwise("bbox_local_authority")
+    by_name = places.select("id", trimmed("area_name").alias("name")).join(names.groupBy("name").agg(F.min(F.struct("geo_type", "geo_code")).alias("g")), "name")
+    by_name = by_name.select("id", F.lit(len(steps)).alias("step"), "g.geo_type", "g.geo_code").withColumn("status", status)
+    best = tried.select("id", "step", "geo_type", "geo_code", "status").unionByName(by_name).groupBy("id").agg(F.min(F.struct("step", "geo_type", "geo_code", "status")).alias("b"))
+    return places.join(best, "id", "left").select(*places.columns, "b.geo_type", "b.geo_code", "b.status")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placelens.operators import support, timeline
+from placelens.operators import answers, resolve, support, timeline
 from placelens.plans.base import from_sql, table
 from placelens.plans.costs import _AT, _CHILD_SQL, _SCHEMES, _SEPT
 from placelens.plans.registry import registry
@@ -60,3 +60,48 @@ def support_by_child(spark, d):
 def family_range(spark, d):
     """Each family has the support that pays more, in each variant for itself."""
     return support.family_range(support.by_child(from_sql(spark, d, _FAMILY_SQL, "lineitem"), support.better()))
+
+
+_STATUS = ("not_working", "income_over_100k", "earning_above_nmw", "earning_above_apprentice_nmw", "earning_below")
+_RESIDENCY = ("settled_status", "no_recourse_to_public_funds", "other", "british_irish_citizen")
+
+
+def _person(k: str, who: str) -> str:
+    cases = lambda values, by: f"CASE {k} % {len(values)} {' '.join(f'WHEN {n} THEN {v!r}' for n, v in enumerate(values))} END".replace(k, by)
+    return (
+        f"{cases(_STATUS, k)} AS {who}_status, {k} % 2 = 0 AS {who}_apprentice, {k} % 3 > 0 AS {who}_first, {k} % 4 = 0 AS {who}_self, {k} % 8 < 5 AS {who}_new, {k} % 3 = 0 AS {who}_allowance, {cases(_RESIDENCY, f'({k} + 1)')} AS {who}_residency, {k} % 10 > 0 AS {who}_ni"
+    )
+
+
+_FAMILIES = f"""SELECT c_custkey AS id, c_custkey % 3 <> 0 AS has_partner, {_person('c_custkey', 'u')}, {_person('(c_custkey // 5)', 'p')}, CASE c_custkey % 4 WHEN 0 THEN 'E09000001' WHEN 1 THEN 'W06000001' ELSE 'E06000001' END AS area,
+ CASE c_custkey % 7 WHEN 0 THEN 'universal_credit' WHEN 1 THEN 'esa' WHEN 2 THEN 'other' END AS benefit, c_custkey % 14 = 0 AS uc_low, c_custkey % 3 + 1 AS n_children, CASE c_custkey % 5 WHEN 0 THEN 38600 WHEN 1 THEN 34500 WHEN 2 THEN 30600 WHEN 3 THEN 26500 END AS income, CASE WHEN c_custkey % 2 = 0 THEN 16000 END AS savings FROM customer"""
+_EARNS = "({0}_status IN ('income_over_100k', 'earning_above_nmw') OR {0}_status = 'earning_above_apprentice_nmw' AND {0}_apprentice AND {0}_first)"
+_OPEN = "{0}_residency IN ('settled_status', 'british_irish_citizen')"
+
+
+@query(f"""WITH f AS ({_FAMILIES}), t AS (SELECT *, u_status <> 'not_working' AS user_works, has_partner AND p_status <> 'not_working' AS partner_works, {_EARNS.format('u')} AS u_earns, {_EARNS.format('p')} AS p_earns, u_self AND u_new AS u_starts, p_self AND p_new AS p_starts,
+ {_OPEN.format('u')} AS u_open, has_partner AND {_OPEN.format('p')} AS p_open, u_residency = 'no_recourse_to_public_funds' AND (NOT has_partner OR p_residency = 'no_recourse_to_public_funds') AS closed,
+ coalesce(income = CASE WHEN area LIKE 'E09%' THEN CASE WHEN n_children >= 2 THEN 38600 ELSE 34500 END ELSE CASE WHEN n_children >= 2 THEN 30600 ELSE 26500 END END, false) AS low, savings IS NOT NULL AS saved FROM f),
+w AS (SELECT *, CASE WHEN NOT has_partner THEN user_works ELSE user_works AND (partner_works OR p_allowance) OR partner_works AND u_allowance END AS able FROM t)
+SELECT id, user_works, partner_works, NOT (user_works AND NOT u_earns AND NOT u_starts) AND NOT (partner_works AND NOT p_earns AND NOT p_starts) AS earns_enough, u_status = 'income_over_100k' OR has_partner AND p_status = 'income_over_100k' AS over_100k, area LIKE 'E%' AS in_england,
+ u_open OR p_open AS public_funds, u_ni AND (NOT has_partner OR p_ni) AS ni_number, coalesce(benefit = 'universal_credit' AND uc_low, false) OR closed AND low AND saved OR coalesce(benefit = 'esa', false) AS low_income,
+ concat_ws(',', CASE WHEN has_partner AND user_works AND NOT partner_works AND p_allowance THEN 'partner_carers_allowance_exemption' END, CASE WHEN has_partner AND NOT user_works AND partner_works AND u_allowance THEN 'user_carers_allowance_exemption' END,
+  CASE WHEN able AND NOT u_earns AND u_starts THEN 'user_self_employed_startup' END, CASE WHEN able AND partner_works AND NOT p_earns AND p_starts THEN 'partner_self_employed_startup' END, CASE WHEN u_open <> p_open AND has_partner THEN 'apply_with_public_funds_parent' END,
+  CASE WHEN closed AND NOT low THEN 'nrpf_income_above_threshold' END, CASE WHEN closed AND NOT saved THEN 'nrpf_savings_above_limit' END) AS caveats FROM w""")
+def family_tests(spark, d):
+    rows = spark.sql(_FAMILIES.replace("FROM customer", "FROM {rows}").replace("//", "div"), rows=table(spark, d, "customer"))
+    person = lambda w: F.struct(*(c(f"{w}_{a}").alias(b) for a, b in (("status", "status"), ("apprentice", "apprentice"), ("first", "first_year"), ("self", "self_employed"), ("new", "under_a_year"), ("allowance", "allowance"), ("residency", "residency"), ("ni", "ni"))))
+    families = rows.select("id", "has_partner", person("u").alias("user"), F.when(c("has_partner"), person("p")).alias("partner"), F.array("area").alias("areas"), F.array_compact(F.array("benefit")).alias("benefits"), c("uc_low").alias("uc_income_low"), "n_children", c("income").alias("income_limit"), c("savings").alias("savings_limit"))
+    return answers.family_tests(families).select("id", "user_works", "partner_works", "earns_enough", "over_100k", "in_england", "public_funds", "ni_number", "low_income", F.array_join("caveats", ",").alias("caveats"))
+
+
+@query("""SELECT id, CASE k WHEN 0 THEN 'postcode' WHEN 1 THEN 'postcode_district' WHEN 2 THEN 'postcode_district' WHEN 3 THEN 'local_authority' WHEN 4 THEN 'county' WHEN 5 THEN 'local_authority' END AS geo_type,
+ CASE k WHEN 0 THEN 'AB' || id % 90 || ' 1XY' WHEN 1 THEN 'BT' || id % 90 WHEN 2 THEN 'CD' || id % 90 WHEN 3 THEN 'E0' || n WHEN 4 THEN 'E10' || n WHEN 5 THEN 'E06' || n END AS geo_code,
+ CASE k WHEN 0 THEN 'bbox_postcode' WHEN 1 THEN 'bbox_postcode_district' WHEN 2 THEN 'bbox_postcode_district' WHEN 3 THEN 'bbox_local_authority' WHEN 4 THEN 'bbox_county' WHEN 5 THEN 'bbox_local_authority' END AS status
+FROM (SELECT c_custkey AS id, c_custkey % 7 AS k, c_nationkey AS n FROM customer)""")
+def box_tiers(spark, d):
+    rows = table(spark, d, "customer").selectExpr("c_custkey AS id", "c_custkey % 7 AS k", "c_nationkey AS n")
+    places = rows.selectExpr("id", "CASE k WHEN 0 THEN concat(' ab', id % 90, ' 1xy') WHEN 1 THEN concat('BT', id % 90, ' 9ZZ') WHEN 2 THEN concat('cd', id % 90) WHEN 3 THEN 'QQ1 1QQ' WHEN 4 THEN ' ' END AS postcode", "CASE WHEN k = 3 THEN concat('E0', n) WHEN k = 4 THEN 'X' END AS area", "CASE k WHEN 4 THEN concat('County ', n) WHEN 5 THEN concat(' Area ', n) WHEN 6 THEN 'Nowhere' ELSE 'County 1' END AS area_name")
+    boxes = rows.selectExpr("explode(array(struct('postcode', concat('AB', id % 90, ' 1XY')), struct('postcode_district', concat('BT', id % 90)), struct('postcode_district', concat('CD', id % 90)), struct('local_authority', concat('E0', n)))) AS b").selectExpr("b.col1 AS geo_type", "b.col2 AS geo_code")
+    names = rows.selectExpr("n").distinct().selectExpr("explode(array(struct(concat('County ', n), 'county', concat('E10', n)), struct(concat('Area ', n), 'local_authority', concat('E06', n)))) AS b").selectExpr("b.col1 AS name", "b.col2 AS geo_type", "b.col3 AS geo_code")
+    return resolve.box_tier(places, boxes, names).select("id", "geo_type", "geo_code", "status")
