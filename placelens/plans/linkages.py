@@ -74,8 +74,8 @@ def school_links(spark, d):
         F.expr("concat('s', k)").alias("urn"), _by_kind(listed, 17, "'Zebra House'").alias("name"), F.expr("concat('P', k)").alias("postcode"), _by_kind({6: "'77, Harbour Street'"}, 17).alias("address"), F.expr("concat('E', nation)").alias("area"),
         (c("lat") + F.when(c("k") % 17 == 10, 0.005).otherwise(0.002)).alias("lat"), F.expr("CASE WHEN k % 17 IN (9, 10) THEN lon END").alias("lon"),
     )
-    links = cascade.school_links(left, schools, rows.where("k % 17 = 15").select(F.expr("concat('s', k)").alias("urn")))
-    listed_numbers = rows.where("k % 17 IN (0, 13, 14)").select(F.expr("concat('s', k)").alias("urn"))
+    links = cascade.school_links(left, schools, rows.select(F.expr("CASE WHEN k % 17 = 15 THEN concat('s', k) END").alias("urn")))
+    listed_numbers = rows.select(F.expr("CASE WHEN k % 17 IN (0, 13, 14) THEN concat('s', k) END").alias("urn"))
     return cascade.listed_in(links, listed_numbers, ["match_id"]).withColumnRenamed("listed", "breakfast")
 
 

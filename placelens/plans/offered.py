@@ -22,21 +22,21 @@ def _sources(spark, d):
     """Listings, inspections, census, scheme, agency and clubs. Numbers are the keys of customers (c) or suppliers (s)."""
     listings = _sql(spark, d, "customer", f"""SELECT concat('E0', c_nationkey) AS area, CAST(c_custkey AS STRING) AS provider_id, CASE c_custkey % 5 WHEN 0 THEN array('private_nursery', 'after_school_club', 'private_nursery') WHEN 1 THEN NULL WHEN 2 THEN array() WHEN 3 THEN array('childminder') ELSE array('x') END AS classes,
       CASE WHEN c_custkey % 5 = 0 THEN array('Nursery', 'Club') END AS labels, CASE WHEN c_custkey % 5 = 1 THEN 'Oak Breakfast Club' ELSE 'Oak' END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'n/a' ELSE {_POSTCODE.format(k='c_custkey')} END AS postcode FROM customer""")
-    links = _sql(spark, d, "customer", "SELECT concat('E0', c_nationkey) AS area, CAST(c_custkey AS STRING) AS provider_id, CASE WHEN c_custkey % 5 = 3 THEN concat('s', c_custkey) END AS urn, CAST(NULL AS STRING) AS school_urn FROM customer WHERE c_custkey % 5 <> 4")
+    links = _sql(spark, d, "customer", "SELECT concat('E0', c_nationkey) AS area, CASE WHEN c_custkey % 5 <> 4 THEN CAST(c_custkey AS STRING) END AS provider_id, CASE WHEN c_custkey % 5 = 3 THEN concat('s', c_custkey) END AS urn, CAST(NULL AS STRING) AS school_urn FROM customer")
     inspections = _sql(spark, d, "supplier", f"""SELECT concat('s', s_suppkey) AS urn, CASE WHEN s_suppkey % 8 = 0 THEN 'Childminder' WHEN s_suppkey % 8 = 7 THEN 'Other' ELSE 'Childcare on non-domestic premises' END AS kind,
       CASE s_suppkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'Out-of-school day care' WHEN 6 THEN 'New kind' WHEN 7 THEN '' ELSE 'Full day care' END AS subkind, concat('Area ', s_nationkey) AS authority,
       CASE s_suppkey % 8 WHEN 2 THEN 'Sunny Holiday Camp' WHEN 4 THEN 'Kids ASC' WHEN 6 THEN 'REDACTED' WHEN 7 THEN 'REDACTED' ELSE 'Kids' END AS name, CASE WHEN s_suppkey % 8 = 6 THEN 'REDACTED' ELSE {_POSTCODE.format(k='s_suppkey')} END AS postcode,
       CASE WHEN s_suppkey % 8 IN (1, 2, 3) THEN 'CCR-VCR' WHEN s_suppkey % 8 = 4 THEN 'VCR only' WHEN s_suppkey % 8 = 5 THEN 'CCR only' ELSE 'EYR' END AS register FROM supplier""")
-    scraped = _sql(spark, d, "supplier", f"SELECT concat('s', s_suppkey) AS urn, 'Scraped' AS name, {_POSTCODE.format(k='s_suppkey')} AS postcode, CASE WHEN s_suppkey % 16 = 6 THEN 'success' ELSE 'failed' END AS status FROM supplier WHERE s_suppkey % 8 = 6")
-    consented = _sql(spark, d, "supplier", "SELECT concat('s', s_suppkey) AS urn, 'Consented' AS name, 'zz1 1zz' AS postcode FROM supplier WHERE s_suppkey % 8 = 6")
+    scraped = _sql(spark, d, "supplier", f"SELECT CASE WHEN s_suppkey % 8 = 6 THEN concat('s', s_suppkey) END AS urn, 'Scraped' AS name, {_POSTCODE.format(k='s_suppkey')} AS postcode, CASE WHEN s_suppkey % 16 = 6 THEN 'success' ELSE 'failed' END AS status FROM supplier")
+    consented = _sql(spark, d, "supplier", "SELECT CASE WHEN s_suppkey % 8 = 6 THEN concat('s', s_suppkey) END AS urn, 'Consented' AS name, 'zz1 1zz' AS postcode FROM supplier")
     areas = _sql(spark, d, "nation", "SELECT concat('Area ', n_nationkey) AS name, concat(CASE WHEN n_nationkey % 5 = 0 THEN 'E100' ELSE 'E0' END, n_nationkey) AS code FROM nation")
-    districts = _sql(spark, d, "supplier", f"SELECT DISTINCT {_POSTCODE.format(k='s_suppkey')} AS postcode, concat('E07', s_suppkey % 90) AS district FROM supplier WHERE s_suppkey % 90 < 60")
+    districts = _sql(spark, d, "supplier", f"SELECT DISTINCT {_POSTCODE.format(k='s_suppkey')} AS postcode, CASE WHEN s_suppkey % 90 < 60 THEN concat('E07', s_suppkey % 90) END AS district FROM supplier")
     census = _sql(spark, d, "customer", f"""SELECT concat('c', c_custkey) AS urn, concat('School ', c_custkey) AS name, {_POSTCODE.format(k='c_custkey')} AS postcode, concat('E0', c_nationkey) AS area, CASE c_custkey % 6 WHEN 0 THEN 'State-funded nursery' WHEN 4 THEN 'Pupil referral unit' ELSE 'State-funded primary' END AS phase,
       CASE c_custkey % 6 WHEN 1 THEN '12' WHEN 5 THEN 'c' ELSE '0' END AS n_nursery FROM customer""")
     register = _sql(spark, d, "customer", "SELECT concat('c', c_custkey) AS urn, CASE WHEN c_custkey % 6 IN (0, 2) THEN 'Has Nursery Classes' ELSE 'No' END AS provision FROM customer")
-    scheme = _sql(spark, d, "customer", "SELECT concat(CASE WHEN c_custkey % 4 = 2 THEN 'x' ELSE 'c' END, c_custkey) AS urn, concat('Member ', c_custkey) AS name, concat('Area ', c_nationkey) AS authority, CASE WHEN c_custkey % 4 = 0 THEN 'Special_AP' ELSE 'Primary' END AS kind FROM customer WHERE c_custkey % 4 <> 3")
+    scheme = _sql(spark, d, "customer", "SELECT CASE WHEN c_custkey % 4 <> 3 THEN concat(CASE WHEN c_custkey % 4 = 2 THEN 'x' ELSE 'c' END, c_custkey) END AS urn, concat('Member ', c_custkey) AS name, concat('Area ', c_nationkey) AS authority, CASE WHEN c_custkey % 4 = 0 THEN 'Special_AP' ELSE 'Primary' END AS kind FROM customer")
     feed = _sql(spark, d, "supplier", f"SELECT concat('s', s_suppkey) AS urn, 'Agency Kids' AS name, {_POSTCODE.format(k='s_suppkey')} AS postcode, CASE WHEN s_suppkey % 3 = 0 THEN concat('Area ', s_nationkey) END AS authority, CASE WHEN s_suppkey % 2 = 0 THEN 'open' ELSE 'closed' END AS status FROM supplier")
-    clubs = _sql(spark, d, "customer", f"SELECT concat('c', c_custkey) AS school_urn, concat('School ', c_custkey) AS name, {_POSTCODE.format(k='c_custkey')} AS postcode, c_custkey % 3 AS before_spaces, CASE WHEN c_custkey % 2 = 1 THEN 5 END AS after_spaces FROM customer WHERE c_custkey % 7 = 0")
+    clubs = _sql(spark, d, "customer", f"SELECT concat('c', c_custkey) AS school_urn, concat('School ', c_custkey) AS name, {_POSTCODE.format(k='c_custkey')} AS postcode, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 3 END AS before_spaces, CASE WHEN c_custkey % 14 = 7 THEN 5 END AS after_spaces FROM customer")
     return O.claims(O.listed(listings, links), O.inspected(inspections, scraped, consented, areas, districts), O.schools(census, register), O.members(scheme, census, areas), O.agency(feed, areas, districts), O.wraparound(clubs, "E06000023"))
 
 

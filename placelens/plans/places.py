@@ -42,7 +42,7 @@ _FINER = "CASE WHEN n_nationkey % 3 = 0 THEN 'district' ELSE 'street' END"
 
 
 @query(f"""WITH p AS ({_PLACES}), s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS x FROM supplier),
-f AS (SELECT CAST(n_nationkey AS VARCHAR) AS postcode, {_FINER} AS geo_type, n_name AS geo_code FROM nation WHERE n_regionkey < 4),
+f AS (SELECT CASE WHEN n_regionkey < 4 THEN CAST(n_nationkey AS VARCHAR) END AS postcode, {_FINER} AS geo_type, n_name AS geo_code FROM nation),
 b AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'district' ELSE 'sector' END AS geo_type, s_name AS geo_code FROM supplier),
 j AS (SELECT id, u.x AS ux, v.x AS vx, b.geo_type AS bt, b.geo_code AS bc, f.geo_type AS ft, f.geo_code AS fc, b.geo_type = 'district' AND f.geo_type = 'street' AS gives
  FROM p LEFT JOIN s u ON u.k = p.urn LEFT JOIN s v ON v.k = p.id AND v.k % 3 = 0 LEFT JOIN b ON b.k = p.id LEFT JOIN f ON f.postcode = p.postcode)
@@ -56,16 +56,16 @@ def resolved_locations(spark, d):
     x = F.when(c("s_suppkey") % 5 != 0, c("s_acctbal").cast("double"))
     place = lambda key: s.select(c("s_suppkey").alias(key), x.alias("lat"), x.alias("lon"))
     boxes = s.select(c("s_suppkey").alias("id"), F.when(c("s_suppkey") % 2 == 0, "district").otherwise("sector").alias("geo_type"), c("s_name").alias("geo_code"))
-    finer = n.where("n_regionkey < 4").select(c("n_nationkey").cast("string").alias("postcode"), F.expr(_FINER).alias("geo_type"), c("n_name").alias("geo_code"))
-    found = P.located(p, [("register", "urn", place("urn")), ("geocoded", "id", place("id").where("id % 3 = 0"))], [("geocoded", "id", boxes)], "postcode", finer, ["district"])
+    finer = n.select(F.when(c("n_regionkey") < 4, c("n_nationkey").cast("string")).alias("postcode"), F.expr(_FINER).alias("geo_type"), c("n_name").alias("geo_code"))
+    found = P.located(p, [("register", "urn", place("urn")), ("geocoded", "id", place("id").withColumn("id", F.when(c("id") % 3 == 0, c("id"))))], [("geocoded", "id", boxes)], "postcode", finer, ["district"])
     return found.drop("urn", "postcode")
 
 
 @query("""SELECT c_custkey, coalesce(a.n_name, b.n_name, c_mktsegment) AS area, CASE WHEN a.n_name IS NOT NULL THEN 'postcode_lookup' WHEN b.n_name IS NOT NULL THEN 'coords_lookup' WHEN c_custkey % 2 = 0 THEN 'unresolved' ELSE 'scraper_assigned' END AS source
-FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) a ON a.n_nationkey = c_nationkey LEFT JOIN nation b ON b.n_nationkey = c_custkey % 40""")
+FROM customer LEFT JOIN (SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name END AS n_name FROM nation) a ON a.n_nationkey = c_nationkey LEFT JOIN nation b ON b.n_nationkey = c_custkey % 40""")
 def resolved_areas(spark, d):
     n = table(spark, d, "nation")
-    a = n.where("n_regionkey = 1").select(c("n_nationkey").alias("c_nationkey"), c("n_name").alias("a"))
+    a = n.select(c("n_nationkey").alias("c_nationkey"), F.when(c("n_regionkey") == 1, c("n_name")).alias("a"))
     b = n.select(c("n_nationkey").alias("place"), c("n_name").alias("b"))
     rows = table(spark, d, "customer").withColumn("place", c("c_custkey") % 40).join(a, "c_nationkey", "left").join(b, "place", "left")
     return rows.select("c_custkey", P.resolved_area(c("a"), c("b"), c("c_mktsegment"), c("c_custkey") % 2 == 0).alias("x")).select("c_custkey", "x.*")

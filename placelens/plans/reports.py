@@ -14,11 +14,11 @@ c = F.col
 
 
 @query("""SELECT c_custkey, coalesce(s.v, n.v, r.v) AS v, CASE WHEN s.v IS NOT NULL THEN 'postcode' WHEN n.v IS NOT NULL THEN 'district' WHEN r.v IS NOT NULL THEN 'area' END AS v_source FROM customer
- LEFT JOIN (SELECT s_suppkey AS k, min(s_name) AS v FROM supplier GROUP BY 1) s ON s.k = c_custkey LEFT JOIN (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_regionkey < 2) n ON n.k = c_nationkey LEFT JOIN (SELECT 'BUILDING' AS k, 'built' AS v) r ON r.k = c_mktsegment""")
+ LEFT JOIN (SELECT s_suppkey AS k, min(s_name) AS v FROM supplier GROUP BY 1) s ON s.k = c_custkey LEFT JOIN (SELECT n_nationkey AS k, CASE WHEN n_regionkey < 2 THEN n_name END AS v FROM nation) n ON n.k = c_nationkey LEFT JOIN (SELECT 'BUILDING' AS k, 'built' AS v) r ON r.k = c_mktsegment""")
 def lookup_cascade(spark, d):
     steps = [
         ("postcode", table(spark, d, "supplier").select(c("s_suppkey").alias("c_custkey"), c("s_name").alias("v")), ["c_custkey"]),
-        ("district", table(spark, d, "nation").where("n_regionkey < 2").select(c("n_nationkey").alias("c_nationkey"), c("n_name").alias("v")), ["c_nationkey"]),
+        ("district", table(spark, d, "nation").select(c("n_nationkey").alias("c_nationkey"), F.when(c("n_regionkey") < 2, c("n_name")).alias("v")), ["c_nationkey"]),
         ("area", spark.sql("SELECT 'BUILDING' AS c_mktsegment, 'built' AS v"), ["c_mktsegment"]),
     ]
     return resolve.cascade(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), steps, "v").select("c_custkey", "v", "v_source")
@@ -33,9 +33,9 @@ def surrogate_remap(spark, d):
     return resolve.remapped(rows, old, new, "id", ["o_custkey", "o_orderdate", "o_totalprice", "o_orderkey"])
 
 
-@query("SELECT n_nationkey, n_regionkey, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT s_nationkey, s_nationkey % 5 AS r, count(*) AS n FROM supplier WHERE s_acctbal > 9000 GROUP BY 1, 2) ON s_nationkey = n_nationkey AND r = n_regionkey")
+@query("SELECT n_nationkey, n_regionkey, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT s_nationkey, s_nationkey % 5 AS r, count(*) AS n FROM supplier GROUP BY 1, 2) ON s_nationkey = n_nationkey AND r = n_regionkey")
 def composite_key_onto_all(spark, d):
-    s = table(spark, d, "supplier").where("s_acctbal > 9000").groupBy(c("s_nationkey").alias("n_nationkey"), (c("s_nationkey") % 5).alias("n_regionkey")).agg(F.count("*").alias("n"))
+    s = table(spark, d, "supplier").groupBy(c("s_nationkey").alias("n_nationkey"), (c("s_nationkey") % 5).alias("n_regionkey")).agg(F.count("*").alias("n"))
     return resolve.onto_all(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), s, ["n_nationkey", "n_regionkey"], {"n": 0})
 
 
@@ -61,9 +61,9 @@ def row_ranges(spark, d):
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 7.5 WHEN s IS NOT NULL THEN s ELSE 0 END AS amount, CASE WHEN c_custkey % 3 = 0 THEN 'provider' WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 'provider_band' WHEN s IS NOT NULL THEN 'area' ELSE 'none' END AS source
-FROM customer LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS s FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON s_nationkey = c_nationkey""")
+FROM customer LEFT JOIN (SELECT s_nationkey, max(CASE WHEN s_acctbal > 5000 THEN s_acctbal END) AS s FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey""")
 def fee_resolution(spark, d):
-    area = table(spark, d, "supplier").where("s_acctbal > 5000").groupBy(c("s_nationkey").alias("c_nationkey")).agg(F.max("s_acctbal").alias("s"))
+    area = table(spark, d, "supplier").groupBy(c("s_nationkey").alias("c_nationkey")).agg(F.max(F.when(c("s_acctbal") > 5000, c("s_acctbal"))).alias("s"))
     k = c("c_custkey")
     own, band = F.when(k % 3 == 0, c("c_acctbal")), F.when((k % 3 == 1) & (k % 2 == 0), 7.5)
     return table(spark, d, "customer").join(area, "c_nationkey", "left").select("c_custkey", resolve.fee(own, band, c("s")).alias("f")).select("c_custkey", "f.*")
@@ -192,9 +192,9 @@ def json_containment(spark, d):
     return table(spark, d, "events").select("event_id", F.array_contains(sources, c("event_type")).alias("has"))
 
 
-@query("SELECT k, kind FROM (SELECT c_custkey AS k, 'box' AS kind, c_acctbal AS v FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT s_suppkey, 'point', s_acctbal FROM supplier) ORDER BY v DESC, kind, k LIMIT 100")
+@query("SELECT k, kind FROM (SELECT c_custkey AS k, 'box' AS kind, c_acctbal AS v FROM customer UNION ALL SELECT s_suppkey, 'point', s_acctbal FROM supplier) ORDER BY v DESC, kind, k LIMIT 100")
 def merged_sorted_lists(spark, d):
-    box = table(spark, d, "customer").where("c_custkey % 5 = 0").select(c("c_custkey").alias("k"), F.lit("box").alias("kind"), c("c_acctbal").alias("v"))
+    box = table(spark, d, "customer").select(c("c_custkey").alias("k"), F.lit("box").alias("kind"), c("c_acctbal").alias("v"))
     point = table(spark, d, "supplier").select(c("s_suppkey").alias("k"), F.lit("point").alias("kind"), c("s_acctbal").alias("v"))
     return box.union(point).orderBy(F.desc("v"), "kind", "k").limit(100).select("k", "kind")
 

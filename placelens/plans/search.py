@@ -66,11 +66,13 @@ def viewport_filter(spark, d):
     return providers(spark, d).where(spatial.in_viewport((51.0, -3.0, 52.5, -1.0))).select("provider_id")
 
 
-@query(f"""WITH p AS ({PROVIDERS_SQL}), k AS (SELECT *, {_DISTANCE} AS km FROM (SELECT *, 52.0 AS q_lat, -2.0 AS q_lon FROM p WHERE lat IS NOT NULL OR bbox_south IS NOT NULL)), m AS (SELECT *, max(CASE WHEN bbox_south IS NULL AND lat < 53 AND lon < 0 THEN km END) OVER () AS far FROM k WHERE bbox_south IS NOT NULL OR lat < 53 AND lon < 0)
+@query(f"""WITH p AS ({PROVIDERS_SQL}), k AS (SELECT *, {_DISTANCE} AS km FROM (SELECT * REPLACE (CASE WHEN lat < 53 AND lon < 0 THEN lat END AS lat), 52.0 AS q_lat, -2.0 AS q_lon FROM p) WHERE lat IS NOT NULL OR bbox_south IS NOT NULL), m AS (SELECT *, max(CASE WHEN bbox_south IS NULL THEN km END) OVER () AS far FROM k)
 SELECT provider_id, bbox_south IS NOT NULL AS is_box FROM m WHERE bbox_south IS NULL OR km <= far OR bbox_south >= 51 AND bbox_west >= -3 AND bbox_north <= 54.9 AND bbox_east <= 1""")
 def box_cap(spark, d):
-    own = providers(spark, d).where("lat < 53 and lon < 0 or bbox_south is not null")
-    rows = own.withColumn("km", spatial.distance_km((F.lit(52.0), F.lit(-2.0))))
+    """Points north or east of the map have no place here, which leaves boxes that are farther than any point."""
+    known = (F.col("lat") < 53) & (F.col("lon") < 0)
+    own = providers(spark, d).withColumns({"lat": F.when(known, F.col("lat")), "lon": F.when(known, F.col("lon"))})
+    rows = own.where("lat is not null or bbox_south is not null").withColumn("km", spatial.distance_km((F.lit(52.0), F.lit(-2.0))))
     return spatial.cap_boxes(rows, (51.0, -3.0, 54.9, 1.0)).select("provider_id", F.col("bbox_south").isNotNull().alias("is_box"))
 
 
