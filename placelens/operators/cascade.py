@@ -77,7 +77,8 @@ def inspection_links(left: DataFrame, right: DataFrame) -> DataFrame:
     sure = scratch.written(rows.join(by_number, "urn").select("id", "match_id", F.lit(0).alias("tier"), F.lit(1.0).alias("ratio")))
     rest = rows.join(sure.select("id"), "id", "left_anti")
     own = _tiers(rest, (1, c("normal"), None), (2, c("stripped"), c("stripped") != c("normal")), (3, c("normal"), None), (4, c("address"), None))
-    other = right.select(c("urn").alias("id"), text.normalise_postcode(c("postcode")).alias("postcode"), text.normalise_name(c("name")).alias("name"), text.normalise_name(c("registered_name")).alias("registered"), text.normalise_name(names.after_at(c("name"))).alias("venue"), text.normalise_name(c("address")).alias("address"))
+    plain = {"name": c("name"), "registered": c("registered_name"), "venue": names.after_at(c("name")), "address": c("address")}
+    other = right.select(c("urn").alias("id"), text.normalise_postcode(c("postcode")).alias("postcode"), *(text.normalise_name(v).alias(k) for k, v in plain.items()))
     other = _tiers(other, (1, c("name"), None), (1, c("registered"), None), (2, c("name"), None), (2, c("registered"), None), (3, c("venue"), None), (4, c("address"), None))
     found = _first(sure.unionByName(_compared(own, other, AT_POSTCODE, F.lit(True))))
     labels = {0: "urn_exact", 1: "postcode_name", 2: "postcode_name_stripped", 3: "postcode_ofsted_venue", 4: "postcode_address"}

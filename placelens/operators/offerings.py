@@ -90,7 +90,8 @@ def schools(census: DataFrame, register: DataFrame, source: str = "school_census
     rows = census.where("urn <> ''").where(~F.coalesce(c("phase").isin(*LEFT_OUT_PHASES), F.lit(False))).join(register.select("urn", "provision"), "urn", "left")
     pupils = F.coalesce(F.try_to_number(F.trim("n_nursery"), F.lit("999999999")), F.lit(0))
     method = F.when(c("phase") == "State-funded nursery", "phase_type").when(pupils > 0, "census_nursery_pupils").when(c("provision") == "Has Nursery Classes", "gias_nursery_provision")
-    return _rows(rows, source, source_id=c("urn"), area=c("area"), care_type=F.when(method.isNotNull(), "school_based_nursery"), label=c("phase"), method=method, name=c("name"), postcode=postcode(c("postcode")), school_urn=c("urn"), phase=c("phase"))
+    care = F.when(method.isNotNull(), "school_based_nursery")
+    return _rows(rows, source, source_id=c("urn"), area=c("area"), care_type=care, label=c("phase"), method=method, name=c("name"), postcode=postcode(c("postcode")), school_urn=c("urn"), phase=c("phase"))
 
 
 def members(scheme: DataFrame, census: DataFrame, areas: DataFrame, source: str = "free_breakfast", label: str = "Free breakfast club scheme") -> DataFrame:
@@ -98,7 +99,9 @@ def members(scheme: DataFrame, census: DataFrame, areas: DataFrame, source: str
     own = census.select("urn", c("postcode").alias("s_postcode"), c("phase").alias("s_phase"), c("area").alias("s_area"))
     rows = _with_area(scheme.where("urn <> ''").where(~F.coalesce(c("kind").isin(*LEFT_OUT_MEMBERS), F.lit(False))), areas, "authority").join(own, "urn", "left")
     known = c("s_postcode").isNotNull() | c("s_phase").isNotNull()
-    return _rows(rows, source, source_id=c("urn"), area=F.coalesce(F.nullif("s_area", F.lit("")), "code"), care_type=F.lit("free_breakfast_club"), label=F.lit(label), method=F.when(known, "scheme_membership_census_enriched").otherwise("scheme_membership"), name=c("name"), postcode=postcode(c("s_postcode")), school_urn=c("urn"), phase=c("s_phase"))
+    method = F.when(known, "scheme_membership_census_enriched").otherwise("scheme_membership")
+    area, care = F.coalesce(F.nullif("s_area", F.lit("")), "code"), F.lit("free_breakfast_club")
+    return _rows(rows, source, source_id=c("urn"), area=area, care_type=care, label=F.lit(label), method=method, name=c("name"), postcode=postcode(c("s_postcode")), school_urn=c("urn"), phase=c("s_phase"))
 
 
 def agency(feed: DataFrame, areas: DataFrame, districts: DataFrame, source: str = "tiney", label: str = "Tiney CMA childminder") -> DataFrame:

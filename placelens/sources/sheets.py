@@ -205,10 +205,13 @@ def register(spark: SparkSession) -> SparkSession:
 
 
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+_OFFICE = "http://schemas.openxmlformats.org"
+_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 _FILES = {
-    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    "[Content_Types].xml": f'<Types xmlns="{_OFFICE}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+    f'<Override PartName="/xl/workbook.xml" ContentType="{_TYPE}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{_TYPE}.worksheet+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_OFFICE}/package/2006/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_OFFICE}/package/2006/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
 }
 
 
@@ -229,9 +232,10 @@ def write_xlsx(df: DataFrame, where: str, sheet: str = "Sheet1") -> DataFrame:
         with store.open_output_stream(f"{name}.{os.getpid()}.tmp") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for path, body in _FILES.items():
                 z.writestr(path, _HEAD + body)
-            z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+            one = f'<sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets>'
+            z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_OFFICE}/spreadsheetml/2006/main" xmlns:r="{_OFFICE}/officeDocument/2006/relationships">{one}</workbook>')
             with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
-                f.write(f'{_HEAD}<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row>{cells(names)}</row>'.encode())
+                f.write(f'{_HEAD}<worksheet xmlns="{_OFFICE}/spreadsheetml/2006/main"><sheetData><row>{cells(names)}</row>'.encode())
                 for b in batches:
                     for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                         f.write(f"<row>{cells(row)}</row>".encode())
