@@ -28,3 +28,13 @@ def written(df: DataFrame) -> DataFrame:
     where = shared_path(df.sparkSession)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over as many tasks as a shuffle has, by columns if any: tables of few bytes and much work else lie in a few, and adaptive execution joins them again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join that must not broadcast a side: files of made or repeated values are far smaller than their rows, which Spark goes by."""
+    return df.hint("merge")

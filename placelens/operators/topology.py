@@ -84,7 +84,7 @@ def simplified_arc(points: list[tuple], tolerance: float, inner: bool) -> list[t
 
 def _ring_rows(features: DataFrame) -> DataFrame:
     """A row per ring with its points, the first one not repeated and none twice in a row, and a number of its own."""
-    rings = features.select("id", F.posexplode("rings").alias("ring", "points"))
+    rings = scratch.spread(features, "id").select("id", F.posexplode("rings").alias("ring", "points"))
     first = F.element_at("points", 1)
     bare = F.when((F.size("points") > 1) & (first == F.element_at("points", -1)), F.slice("points", 1, F.size("points") - 1)).otherwise(F.col("points"))
     rings = rings.where(F.size("points") > 0).withColumn("points", bare)
@@ -101,7 +101,7 @@ def arcs_of(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     pair = F.array_sort(F.array("a", "b"))
     # two least and greatest pairs differ where rings part; they are combined before rows move
     junctions = met.groupBy("at").agg(F.min(pair).alias("low"), F.max(pair).alias("high")).where("low <> high").select("at")
-    places = met.select("rid", "k", "at").join(junctions, "at").groupBy("rid").agg(F.sort_array(F.collect_list("k")).alias("places"))
+    places = met.select("rid", "k", "at").join(scratch.merged(junctions), "at").groupBy("rid").agg(F.sort_array(F.collect_list("k")).alias("places"))
     kind = features.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -116,7 +116,7 @@ def arcs_of(features: DataFrame) -> tuple[DataFrame, DataFrame]:
             kinds = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), _XY)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "ring", "rid", "seq", "turned", "arc_id", "points"])
 
-    whole = rings.join(places, "rid", "left").select("id", "ring", "rid", "points", "places")
+    whole = rings.join(scratch.merged(places), "rid", "left").select("id", "ring", "rid", "points", "places")
     cut = scratch.written(whole.mapInArrow(run, f"id {kind}, ring int, rid long, seq int, turned boolean, arc_id string, points {_POINTS}"))
     arcs = cut.groupBy("arc_id").agg(F.any_value("points").alias("points"))
     return cut.select("id", "ring", "rid", "seq", "turned", "arc_id"), scratch.written(arcs)
@@ -170,7 +170,7 @@ def crossings(lines: DataFrame, cell: float) -> DataFrame:
     touch = _on(a, b, c) | _on(a, b, d) | _on(c, d, a) | _on(c, d, b)
     other = (F.col("arc_id") != F.col("other_id")) | (F.col("k") != F.col("other_k"))
     same = (F.col("arc_id") != F.col("other_id")) & ((a == c) & (b == d) | (a == d) & (b == c))
-    return own.join(looked, ["at_level", "gx", "gy"]).where(other & (cross | touch | same)).select("arc_id", "other_id").distinct()
+    return own.join(scratch.merged(looked), ["at_level", "gx", "gy"]).where(other & (cross | touch | same)).select("arc_id", "other_id").distinct()
 
 
 def simplify(features: DataFrame, tolerance: float) -> DataFrame:

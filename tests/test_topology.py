@@ -158,3 +158,12 @@ def test_geojson(spark, tmp_path):
     assert (rows["B"].south, rows["B"].west, rows["B"].north, rows["B"].east) == (0, 1, 6, 6)
     text = json.loads(got.where("code = 'B'").select(geojson.feature(["code", "name"]).alias("f")).first().f)
     assert [len(p) for p in text["geometry"]["coordinates"]] == [1, 2] and text["properties"]["code"] == "B"
+
+
+def test_rows_of_small_files_are_not_broadcast(spark, monkeypatch):
+    """Points are far more than the bytes of their file say: neither side of a join on them goes to the driver."""
+    plans, written = [], topology.scratch.written
+    monkeypatch.setattr(topology.scratch, "written", lambda df: (plans.append(df._jdf.queryExecution().toString()), written(df))[1])
+    topology.arcs_of(_df(spark, _mesh(2, 3)))
+    topology.crossings(spark.createDataFrame([("a", [(0.0, 0.0), (1.0, 1.0)]), ("b", [(0.0, 1.0), (1.0, 0.0)])], "arc_id string, line array<struct<x: double, y: double>>"), 0.1).collect()
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
