@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelens.functions import geo
-from placelens.functions.similarity import similarity
 from placelens.operators import scratch
-from placelens.operators.similar import best_similar
+from placelens.operators.similar import best_similar, similar_pairs
 
 
 def best_match(candidates: DataFrame) -> DataFrame:
@@ -23,12 +22,60 @@ def unique_names(df: DataFrame) -> DataFrame:
     return df.join(once, "name", "left_semi")
 
 
+def nearest_by_cells(rows: DataFrame, sites: DataFrame, keys: list[str], max_km: float, few: int = 16, steps: int = 8) -> DataFrame:
+    """(id, match_id, km) of the nearest site with the same keys, where one is within max_km; of equals the least.
+
+    rows: id, keys, lat, lon; sites: match_id, keys, r_lat, r_lon. Rows meet sites on cells as high as a radius, which
+    starts where a cell holds few sites and is four times as long in each step, up to max_km. A row that finds a site
+    within the radius is done, so that dense places cost no more. Sites at one place are one. Cells widen towards the poles.
+    """
+    c = F.col
+    sites = scratch.written(sites.where("r_lat is not null and r_lon is not null").groupBy(*keys, "r_lat", "r_lon").agg(F.min("match_id").alias("match_id")))
+    rest = scratch.written(scratch.spread(rows.where("lat is not null and lon is not null").select("id", *keys, "lat", "lon"), "id"))
+    round_ = lambda lon: F.pmod(lon + 180, F.lit(360.0))
+    far = max_km / (2 * 3.14159265 * geo.EARTH_KM / 360) * 1.001
+
+    def wide(high: float) -> Column:
+        edge = F.least(F.greatest(F.abs(c("gy")), F.abs(c("gy") + 1)) * high, F.lit(90.0))
+        return F.least(high / F.greatest(F.cos(F.radians(edge)), F.lit(1e-6)), F.lit(360.0))
+
+    def celled(high: float) -> DataFrame:
+        return sites.withColumn("gy", F.floor(c("r_lat") / high)).withColumn("gx", F.floor(round_(c("r_lon")) / wide(high)))
+
+    step = 0
+    while step < steps:
+        most = celled(far / 4**step).groupBy(*keys, "gy", "gx").count().agg(F.max("count")).first()[0]
+        if (most or 0) <= few:
+            break
+        step += 1
+    out = None
+    for k in range(step, -1, -1):
+        high = far / 4**k
+        reach = F.least(high / F.greatest(F.cos(F.radians(F.least(F.abs(c("lat")) + high, F.lit(90.0)))), F.lit(1e-6)), F.lit(180.0))
+        looked = rest.withColumn("gy", F.explode(F.sequence(F.floor((c("lat") - high) / high), F.floor((c("lat") + high) / high)))).withColumn("reach", reach).withColumn("x", round_(c("lon")))
+        turns = F.array_compact(F.array(c("x"), F.when(c("x") < c("reach"), c("x") + 360), F.when(c("x") + c("reach") >= 360, c("x") - 360)))
+        looked = looked.withColumn("x", F.explode(turns)).withColumn("gx", F.explode(F.sequence(F.floor((c("x") - c("reach")) / wide(high)), F.floor((c("x") + c("reach")) / wide(high)))))
+        met = looked.join(scratch.merged(celled(high)), [*keys, "gy", "gx"]).withColumn("km", geo.haversine_km(c("lat"), c("lon"), c("r_lat"), c("r_lon"))).where(c("km") <= max_km / 4**k)
+        found = scratch.written(met.groupBy("id").agg(F.min(F.struct("km", "match_id")).alias("b")))
+        out = found if out is None else out.unionByName(found)
+        if k:
+            rest = scratch.written(rest.join(scratch.merged(found), "id", "left_anti"))
+    return out.groupBy("id").agg(F.min("b").alias("b")).select("id", c("b.match_id").alias("match_id"), c("b.km").alias("km"))
+
+
 def near_in_scope(left: DataFrame, right: DataFrame, scope: str, max_km: float, name_gate: float) -> DataFrame:
-    """The nearest record in scope within max_km whose name passes the gate."""
-    r = right.select(scope, F.col("id").alias("match_id"), F.col("name").alias("match_name"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-    pairs = left.join(r, scope).withColumn("km", km).where(F.col("km") <= max_km).withColumn("ratio", similarity("name", "match_name")).where(F.col("ratio") >= name_gate)
-    return pairs.groupBy("id").agg(F.min_by("match_id", F.struct("km", "match_id")).alias("match_id"), F.min("km").alias("km"))
+    """The nearest record in scope within max_km whose name passes the gate. Names are compared once per scope and pair of texts, records meet on cells."""
+    left, right = (scratch.written(df.where("name is not null").select(scope, "id", "name", "lat", "lon")) for df in (left, right))
+    own, other = (df.select(scope, F.col("name").alias("text")).distinct() for df in (left, right))
+    if name_gate > 0:  # empty names are alike, and like no others
+        named = similar_pairs(own, other, [scope], name_gate).select(scope, "text", "match_text")
+        if name_gate <= 1:
+            named = named.unionByName(own.where("text = ''").withColumn("match_text", F.lit("")))
+    else:
+        named = own.join(other.withColumnRenamed("text", "match_text"), scope)
+    rows = left.join(scratch.written(named.withColumnRenamed("text", "name")), [scope, "name"]).select("id", scope, "match_text", "lat", "lon")
+    sites = right.select(F.col("id").alias("match_id"), scope, F.col("name").alias("match_text"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    return nearest_by_cells(rows, sites, [scope, "match_text"], max_km)
 
 
 def link(left: DataFrame, right: DataFrame, thresholds: tuple[float, float] = (0.80, 0.92), skip: Column | None = None) -> DataFrame:
