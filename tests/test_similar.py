@@ -50,3 +50,30 @@ def test_one_name_does_not_meet_itself_many_times(spark):
     assert similar.similar_pairs(rows, rows, ["postcode"], 0.8, few=0).count() == 1
     best = similar.best_similar(rows, rows, ["postcode"], 0.8)
     assert best.count() == 3000 and best.where("match_id <> 0").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.8, 0.92])
+def test_best_in_dense_blocks(spark, threshold):
+    """Numbered names share their grams: blocks are scanned in parts, with the same best partner as all pairs have."""
+    rng = random.Random(5)
+    texts = lambda n: [f"customer {rng.randint(0, 10**rng.randint(1, 6))}" for _ in range(n)] + ["", None, "x" * 220, "customer " * 9, "customer " * 9 + "1", "é9", "customer"]
+    left, right = texts(150), texts(200)
+    best = {}
+    for i, a in enumerate(left):
+        found = [(-SequenceMatcher(None, a, b).ratio(), j) for j, b in enumerate(right) if a and b and i % 2 == j % 2]
+        ratio, j = min(found, default=(0, 0))
+        if -ratio >= threshold:
+            best[i] = (j, -ratio)
+    df = lambda rows: spark.createDataFrame([(k, k % 2, t) for k, t in enumerate(rows)], "id long, area int, text string")
+    seen = []
+    scanned, similar._scanned = similar._scanned, lambda *a: seen.append(1) or scanned(*a)
+    try:
+        got = {r.id: (r.match_id, r.ratio) for r in similar.best_similar(df(left), df(right), ["area"], threshold, few=20, part=30).collect()}
+    finally:
+        similar._scanned = scanned
+    assert seen and got == best
+
+
+def test_order_of_candidates():
+    texts = ["a", "ab", "abc" * 30, "", "xyz"]
+    assert similar.best_of(["ab", "ba", "abc" * 31, "q"], texts, 0.6) == [(1, 1.0), (0, 2 / 3), (2, 2 * 90 / 183), None]
