@@ -34,18 +34,34 @@ def by_child(children: DataFrame, choose: Column | None = None) -> DataFrame:
     each eligible child has its share of costs, rounded, and the last child what is left.
     """
     c = F.col
-    cost = c("fees") - c("saved")
-    rows = scenarios(children).withColumn("_tfc", F.when(c("tfc_eligible"), round_half_up(F.least(cost * (TOP_UP / (1 + TOP_UP)), F.when(c("disabled"), CAP_DISABLED).otherwise(CAP)))).otherwise(0.0)).withColumn("_cost", F.when(c("uc_eligible"), cost))
-    sums = rows.groupBy("family", "variant").agg(F.sum("_tfc").alias("tfc_total"), F.sum("_cost").alias("_costs"), F.count("_cost").alias("_n"), F.max(F.when(c("uc_eligible"), c("child"))).alias("_last"), F.max("on_uc").alias("_on_uc"))
-    yearly = round_half_up(F.least(c("_costs") / 12 * SHARE, F.when(c("_n") == 1, CAP_ONE).otherwise(CAP_MORE)) * 12)
-    sums = sums.withColumn("uc_total", F.when(c("_n") > 0, yearly).otherwise(0.0))
-    sums = sums.withColumn("kind", F.when(F.coalesce(c("_on_uc") if choose is None else choose, F.lit(False)), "uc").otherwise("tfc"))
-    parts = rows.join(sums, ["family", "variant"]).withColumn("_part", F.when(c("_cost").isNotNull() & (c("child") != c("_last")), round_half_up(F.when(c("_costs") > 0, c("uc_total") * (c("_cost") / c("_costs"))).otherwise(0.0))).otherwise(0.0))
-    given = parts.groupBy("family", "variant").agg(F.sum("_part").alias("_given"))
-    parts = parts.join(given, ["family", "variant"])
-    uc = F.when(c("_cost").isNotNull() & (c("child") == c("_last")), round_half_up(c("uc_total") - c("_given"))).otherwise(c("_part"))
-    own = ["family", "child", "variant", "fees", "saved", "charges", "kind"]
-    return parts.select(*own, F.when(c("kind") == "tfc", c("_tfc")).otherwise(0.0).alias("tfc"), F.when(c("kind") == "uc", uc).otherwise(0.0).alias("uc"))
+    rows, sums, shared = children, [], []
+    for v in VARIANTS:  # a column per variant while rows move, a row per variant at the end
+        cost = c(f"fees_{v}") - c(f"saved_{v}")
+        tfc = F.when(c("tfc_eligible"), round_half_up(F.least(cost * (TOP_UP / (1 + TOP_UP)), F.when(c("disabled"), CAP_DISABLED).otherwise(CAP)))).otherwise(0.0)
+        rows = rows.withColumn(f"_tfc_{v}", tfc).withColumn(f"_cost_{v}", F.when(c("uc_eligible"), cost))
+        sums += [F.sum(f"_tfc_{v}").alias(f"_total_{v}"), F.sum(f"_cost_{v}").alias(f"_costs_{v}"), F.count(f"_cost_{v}").alias(f"_n_{v}")]
+    sums = rows.groupBy("family").agg(*sums, F.max(F.when(c("uc_eligible"), c("child"))).alias("_last"), F.max("on_uc").alias("_on_uc"))
+    for v in VARIANTS:
+        yearly = round_half_up(F.least(c(f"_costs_{v}") / 12 * SHARE, F.when(c(f"_n_{v}") == 1, CAP_ONE).otherwise(CAP_MORE)) * 12)
+        sums = sums.withColumn("tfc_total", c(f"_total_{v}")).withColumn("uc_total", F.when(c(f"_n_{v}") > 0, yearly).otherwise(0.0))
+        kind = F.when(F.coalesce(c("_on_uc") if choose is None else choose, F.lit(False)), "uc").otherwise("tfc")
+        sums = sums.withColumn(f"_kind_{v}", kind).withColumn(f"_uc_{v}", c("uc_total"))
+    sums = sums.drop("tfc_total", "uc_total", "_on_uc", *(f"_{k}_{v}" for k in ("n", "total") for v in VARIANTS))
+    parts = rows.select("family", "child", "charges", *(f"{k}_{v}" for k in ("fees", "saved", "_tfc", "_cost") for v in VARIANTS)).join(sums, "family")
+    for v in VARIANTS:
+        part = round_half_up(F.when(c(f"_costs_{v}") > 0, c(f"_uc_{v}") * (c(f"_cost_{v}") / c(f"_costs_{v}"))).otherwise(0.0))
+        parts = parts.withColumn(f"_part_{v}", F.when(c(f"_cost_{v}").isNotNull() & (c("child") != c("_last")), part).otherwise(0.0))
+        shared.append(F.sum(f"_part_{v}").alias(f"_given_{v}"))
+    parts = parts.join(parts.groupBy("family").agg(*shared), "family")
+
+    def of(v: str) -> Column:
+        uc = F.when(c(f"_cost_{v}").isNotNull() & (c("child") == c("_last")), round_half_up(c(f"_uc_{v}") - c(f"_given_{v}"))).otherwise(c(f"_part_{v}"))
+        kind = c(f"_kind_{v}")
+        own = {"variant": F.lit(v), "fees": c(f"fees_{v}"), "saved": c(f"saved_{v}"), "kind": kind, "tfc": F.when(kind == "tfc", c(f"_tfc_{v}")).otherwise(0.0), "uc": F.when(kind == "uc", uc).otherwise(0.0)}
+        return F.struct(*(x.alias(k) for k, x in own.items()))
+
+    each = parts.select("family", "child", "charges", F.explode(F.array(*map(of, VARIANTS))).alias("s"))
+    return each.select("family", "child", "s.variant", "s.fees", "s.saved", "charges", "s.kind", "s.tfc", "s.uc")
 
 
 def better(tfc: str = "tfc_total", uc: str = "uc_total") -> Column:

@@ -62,3 +62,11 @@ def test_offerings_of_odd_rows(spark):
     (one,) = O.settled(O.claims(O.listed(listings, links))).collect()
     assert (one.place, one.care_type, one.conflicts) == ("u", "a", [])
     assert O.settled(O.claims(O.listed(listings.limit(0), links))).collect() == []
+
+
+def test_variants_are_rows_only_after_all_shuffles(spark):
+    """A row per variant would be shuffled three times over."""
+    df = spark.range(1).selectExpr("CAST(id AS STRING) AS family", "id AS child", "id > 0 AS tfc_eligible", "id > 1 AS uc_eligible", "id > 2 AS disabled", "id > 3 AS on_uc", "CAST(id AS DOUBLE) AS charges", *(f"CAST(id AS DOUBLE) AS {k}_{v}" for k in ("fees", "saved") for v in support.VARIANTS))
+    plan = support.by_child(df)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [k for k, line in enumerate(plan) if "Generate" in line]
+    assert len(made) == 1 and made[0] < min(k for k, line in enumerate(plan) if "Join" in line or "Aggregate" in line)
