@@ -35,6 +35,12 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def dealt(df: DataFrame, *by: str, rows: int) -> DataFrame:
+    """df by columns, if any, over as many tasks as hold about so many rows each: a fixed number of them holds more as df grows. df is counted for it, so it should be cheap to read."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, *by)
+
+
 def merged(df: DataFrame) -> DataFrame:
     """df for a join that must not broadcast a side: files of made or repeated values are far smaller than their rows, which Spark goes by."""
     return df.hint("merge")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelens.functions import numbers
+from placelens.operators import scratch
 from placelens.operators.scoring import work_test
 
 _EVER = "0001-01-01"
@@ -43,10 +44,12 @@ def scheme_intervals(children: DataFrame) -> DataFrame:
 
 def cut(intervals: DataFrame, spells: DataFrame, schemes: tuple[str, ...]) -> DataFrame:
     """Intervals of the given schemes as far as a spell (child_id, start, stop) lasts; a row for each meeting. Others as they are."""
-    s = spells.select("child_id", F.col("start").alias("s_start"), F.col("stop").alias("s_stop"))
-    met = intervals.where(F.col("scheme").isin(*schemes)).join(s, "child_id")
-    met = met.select("child_id", "scheme", F.greatest("start", "s_start").alias("start"), F.least("stop", "s_stop").alias("stop")).where("start < stop")
-    return intervals.where(~F.col("scheme").isin(*schemes)).unionByName(met)
+    own = spells.groupBy("child_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spells"))
+    part = lambda s: F.struct(F.greatest("start", s["start"]).alias("start"), F.least("stop", s["stop"]).alias("stop"))
+    met = F.filter(F.transform("_spells", part), lambda p: p["start"] < p["stop"])
+    parts = F.when(F.col("scheme").isin(*schemes), met).otherwise(F.array(F.struct("start", "stop")))
+    # intervals are read once and stay where their child is: no union, no shuffle if both sides lie by child
+    return intervals.join(scratch.merged(own), "child_id", "left").select("child_id", "scheme", F.explode(parts).alias("_p")).select("child_id", "scheme", "_p.*")
 
 
 def joined(intervals: DataFrame) -> DataFrame:

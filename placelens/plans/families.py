@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placelens.operators import answers, resolve, support, timeline
+from placelens.operators import answers, resolve, scratch, support, timeline
 from placelens.plans.base import from_sql, table
 from placelens.plans.costs import _AT, _CHILD_SQL, _SCHEMES, _SEPT
 from placelens.plans.registry import registry
@@ -25,7 +25,7 @@ b AS (SELECT child_id, scheme, eligible AS base FROM e WHERE k = 0)
 SELECT child_id, scheme, CASE WHEN base THEN 'loss' ELSE 'gain' END AS direction, min(at_date) AS at FROM e JOIN b USING (child_id, scheme) WHERE k > 0 AND eligible <> base GROUP BY 1, 2, 3""")
 def scheme_timeline(spark, d):
     """The SQL evaluates every scheme at 13 dates; the query reads borders."""
-    children = from_sql(spark, d, _CHILD_SQL, "orders")
+    children = scratch.dealt(from_sql(spark, d, _CHILD_SQL, "orders"), "child_id", rows=60_000)
     spell = F.array(*(F.array(*(F.struct(F.lit(a).cast("date").alias("start"), F.lit(b).cast("date").alias("stop")) for a, b in v)) for v in _SPELLS.values()))
     spells = children.select("child_id", F.explode(F.get(spell, (c("child_id") % 4).cast("int"))).alias("s")).select("child_id", "s.*")
     intervals = timeline.joined(timeline.cut(timeline.scheme_intervals(children), spells, timeline.WORKING))

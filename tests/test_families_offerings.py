@@ -4,7 +4,8 @@ import datetime as dt
 import random
 
 from placelens.operators import offerings as O
-from placelens.operators import scoring, support, timeline
+from placelens.operators import scoring, scratch, support, timeline
+from placelens.plans import families
 from pyspark.sql import functions as F
 
 _FLAGS = ("has_partner", "user_works", "partner_works", "user_exempt", "partner_exempt", "earns_enough", "over_100k", "in_england", "public_funds", "ni_number", "fostered", "disabled", "low_income", "on_uc", "has_send", "benefit")
@@ -32,6 +33,20 @@ def test_joined_intervals(spark):
     assert sorted(map(tuple, got)) == [(1, "a", d(0), d(12)), (1, "a", d(13), d(14)), (1, "b", d(0), d(3)), (2, "a", d(9), d(11))]
 
 
+def test_cut_by_spells(spark):
+    d = lambda k: dt.date(2026, 1, 1) + dt.timedelta(days=k)
+    rows = [(1, "a", d(0), d(10)), (1, "b", d(0), d(10)), (2, "a", d(0), d(10)), (2, "b", d(3), d(4)), (3, "a", d(5), d(9))]
+    spells = [(1, d(2), d(4)), (1, d(3), d(20)), (1, d(10), d(12)), (3, d(0), d(30)), (4, d(0), d(9))]
+    got = timeline.cut(spark.createDataFrame(rows, "child_id int, scheme string, start date, stop date"), spark.createDataFrame(spells, "child_id int, start date, stop date"), ("a",))
+    assert sorted(map(tuple, got.collect())) == [(1, "a", d(2), d(4)), (1, "a", d(3), d(10)), (1, "b", d(0), d(10)), (2, "b", d(3), d(4)), (3, "a", d(5), d(9))]
+
+
+def test_timeline_deals_children_by_their_number(spark):
+    assert scratch.dealt(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 100
+    plan = families.scheme_timeline(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
+
+
 def test_support_shares_sum_to_the_award(spark):
     rng, rows = random.Random(1), []
     for family in range(60):
