@@ -72,13 +72,15 @@ def inspection_links(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     bare = names.without_category(c("name"))
     normal, stripped = text.normalise_name(bare), text.normalise_name(names.unqualified(bare))
-    rows = left.where(_in_area(c("area"))).select("id", text.clean_urn(c("urn")).alias("urn"), text.normalise_postcode(c("postcode")).alias("postcode"), normal.alias("normal"), stripped.alias("stripped"), text.normalise_name(c("address")).alias("address"))
+    # names are few bytes and much work: both sides are spread and normalised once
+    rows = scratch.spread(left.where(_in_area(c("area")))).select("id", text.clean_urn(c("urn")).alias("urn"), text.normalise_postcode(c("postcode")).alias("postcode"), normal.alias("normal"), stripped.alias("stripped"), text.normalise_name(c("address")).alias("address"))
+    rows = scratch.written(rows)
     by_number = right.where("urn <> ''").groupBy("urn").agg(F.min("urn").alias("match_id"))
     sure = scratch.written(rows.join(by_number, "urn").select("id", "match_id", F.lit(0).alias("tier"), F.lit(1.0).alias("ratio")))
     rest = rows.join(sure.select("id"), "id", "left_anti")
     own = _tiers(rest, (1, c("normal"), None), (2, c("stripped"), c("stripped") != c("normal")), (3, c("normal"), None), (4, c("address"), None))
     plain = {"name": c("name"), "registered": c("registered_name"), "venue": names.after_at(c("name")), "address": c("address")}
-    other = right.select(c("urn").alias("id"), text.normalise_postcode(c("postcode")).alias("postcode"), *(text.normalise_name(v).alias(k) for k, v in plain.items()))
+    other = scratch.written(scratch.spread(right).select(c("urn").alias("id"), text.normalise_postcode(c("postcode")).alias("postcode"), *(text.normalise_name(v).alias(k) for k, v in plain.items())))
     other = _tiers(other, (1, c("name"), None), (1, c("registered"), None), (2, c("name"), None), (2, c("registered"), None), (3, c("venue"), None), (4, c("address"), None))
     found = _first(sure.unionByName(_compared(own, other, AT_POSTCODE, F.lit(True))))
     labels = {0: "urn_exact", 1: "postcode_name", 2: "postcode_name_stripped", 3: "postcode_ofsted_venue", 4: "postcode_address"}
@@ -100,11 +102,13 @@ def school_links(left: DataFrame, schools: DataFrame, inspected: DataFrame) -> D
     """
     plain = lambda x: F.coalesce(text.normalise_name(names.without_care(x)), F.lit(""))
     venue, schooled, club = text.extract_venue(c("name")), c("kind").isin(*SCHOOL_KINDS), c("kind").isin(*CLUB_KINDS)
-    rows = left.where(_in_area(c("area"))).select(
+    # names are few bytes and much work: both sides are spread and normalised once
+    rows = scratch.spread(left.where(_in_area(c("area")))).select(
         "id", "area", "urn", "lat", "lon", F.coalesce(schooled, F.lit(False)).alias("schooled"), text.normalise_postcode(c("postcode")).alias("postcode"), plain(c("name")).alias("plain"), plain(venue).alias("venue"),
         plain(c("address")).alias("place"), text.normalise_name(c("address")).alias("address"), plain(F.when(club & venue.isNotNull(), venue).otherwise(c("name"))).alias("text"),
     )
-    own = schools.select(c("urn").alias("id"), "area", "lat", "lon", text.normalise_postcode(c("postcode")).alias("postcode"), text.normalise_name(c("name")).alias("name"), text.normalise_name(c("address")).alias("address"))
+    own = scratch.spread(schools).select(c("urn").alias("id"), "area", "lat", "lon", text.normalise_postcode(c("postcode")).alias("postcode"), text.normalise_name(c("name")).alias("name"), text.normalise_name(c("address")).alias("address"))
+    rows, own = scratch.written(rows), scratch.written(own)
     numbers = own.where("id <> ''").select(c("id").alias("urn")).distinct()
     numbered = rows.where("urn <> ''").join(numbers, "urn")
     by_number = numbered.where("schooled").unionByName(numbered.where("not schooled").join(inspected.select("urn").distinct(), "urn", "left_anti"))

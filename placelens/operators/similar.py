@@ -84,9 +84,10 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold
     once however many rows have them. In blocks with few texts on the right each text of the left meets
     all of them, which is linear in the left side; in the others texts meet by the index.
     """
-    # texts are few bytes and much work: a number of partitions keeps adaptive execution from joining them into one task
+    # texts are few bytes and much work: a number of partitions keeps adaptive execution from joining them into one task; blocks
+    # take part in the key, as one text may be in all of them
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = lambda df: scratch.written(df.select(*block, "text").where("text <> ''").dropna(subset=block).distinct().repartition(tasks, "text").withColumn("characters", numbered_grams(F.col("text"), 1)))
+    rows = lambda df: scratch.written(df.select(*block, "text").where("text <> ''").dropna(subset=block).distinct().repartition(tasks, *block, "text").withColumn("characters", numbered_grams(F.col("text"), 1)))
     left, right = rows(left), rows(right)
     sizes = scratch.written(right.groupBy(*block).agg(F.count("*").alias("_texts")))
     other = right.join(sizes.where(F.col("_texts") <= few).select(*block), block).select(*block, F.col("text").alias("match_text"), F.col("characters").alias("other_characters"))
@@ -97,7 +98,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold
     total = F.size("characters") + F.size("other_characters")
     long_enough = 2 * F.least(F.size("characters"), F.size("other_characters")) >= threshold * total - _EPS
     shared = 2 * F.size(F.array_intersect("characters", "other_characters")) >= threshold * total - _EPS
-    pairs = met.where(long_enough & shared).select(*block, "text", "match_text").repartition(tasks, "text", "match_text")
+    pairs = met.where(long_enough & shared).select(*block, "text", "match_text").repartition(tasks, *block, "text", "match_text")
     return pairs.withColumn("ratio", similarity("text", "match_text")).where(F.col("ratio") >= threshold)
 
 

@@ -77,3 +77,12 @@ def test_best_in_dense_blocks(spark, threshold):
 def test_order_of_candidates():
     texts = ["a", "ab", "abc" * 30, "", "xyz"]
     assert similar.best_of(["ab", "ba", "abc" * 31, "q"], texts, 0.6) == [(1, 1.0), (0, 2 / 3), (2, 2 * 90 / 183), None]
+
+
+def test_one_text_in_many_blocks_is_spread(spark):
+    """Rows go by block too: a name that every postcode has must not be one task's work."""
+    rows = [(f"p{k}", "oak nursery") for k in range(400)]
+    side = spark.createDataFrame(rows, "block string, text string")
+    pairs = similar.similar_pairs(side, side, ["block"], 0.8)
+    sizes = pairs.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert sum(sizes) == 400 and max(sizes) < 200
