@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from placelens.operators import discovery, quality
+from placelens.operators import discovery, quality, scratch
 from placelens.plans.base import table
 from placelens.plans.registry import registry
 from placelens.sources import page_tree
@@ -43,7 +43,8 @@ def page_tree_fields(spark, d):
       WHEN 1 THEN concat('<meta name="application-name" content="My Hub"><title>my hub</title><h1>My Hub</h1><div id="hit-header"><h1>Elm ', id, '</h1></div><p class="eyo-data-label">phone</p><p class="eyo-data-field">0', id, '</p><div id="pnlPostalAddressWrapper"><p>', id, ' High St<br>Town<br>AB1 2CD</p></div>')
       WHEN 2 THEN concat('<h1>Family Hub</h1><h1>Ash ', id, '</h1><section><div><i class="eyo-data-label">Phone :</i></div><div><i class="eyo-data-field">0', id, '</i></div></section><div id="pnlVisitAddressWrapper"><p>', id, ' High St<br> Ville </p></div>')
       ELSE '<title>Family Hub</title><h1>Family Hub</h1><div id="pnlVisitAddressWrapper"><p>Town<br>AB1 2CD</p></div>' END""")
-    pages = table(spark, d, "customer").select(c("c_custkey").alias("id")).withColumn("html", html)
+    # keys are few bytes and a page much work: row groups of the file would be few tasks
+    pages = scratch.spread(table(spark, d, "customer").select(c("c_custkey").alias("id"))).withColumn("html", html)
     got = pages.select("id", page_tree.page_details(c("html"), "eyo-data-label", "eyo-data-field", ("Family Hub",)).alias("p"))
     return got.select("id", "p.name", "p.doubtful", c("p.pairs")["phone"].alias("phone"), c("p.address")["postcode"].alias("postcode"), c("p.address")["town"].alias("town"), c("p.address")["address_line1"].alias("line"))
 

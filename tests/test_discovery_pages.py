@@ -59,3 +59,11 @@ def test_record_rules(spark):
         3: {"lad25cd", "phone", "email", "website", "fis_url", "rating", "inspected_in_future", "framework", "places", "repeated_care_type", "website_is_fis", "institution_and_care"},
         4: {"inspected_long_ago", "safeguarding_met", "places_at_home", "institution_and_care"}, 5: {"inspected_unreadable"},
     }
+
+
+def test_pages_are_spread_whatever_the_row_groups(spark):
+    from placelens.plans import discovery as plans
+
+    got = plans.page_tree_fields(spark, "/root/testdata/sf0.001")
+    sizes = got.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and min(sizes) > 0
