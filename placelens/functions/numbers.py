@@ -11,6 +11,14 @@ def round_half_up(c: Column, places: int = 2) -> Column:
     return F.floor(c * 10**places + 0.5) / 10**places
 
 
+def exact_sum(x: Column) -> Column:
+    """An aggregate: the sum of doubles rounded once, so that it depends on no order of rows; up to 2^42 in size, and by steps of 2^-59."""
+    whole = F.floor(x * 2.0**20)
+    high, low = F.sum(whole), F.sum(F.floor((x * 2.0**20 - whole) * 2.0**39))
+    carry = F.shiftright(low, 39)
+    return (high + carry).cast("double") / 2.0**20 + (low - F.shiftleft(carry, 39)).cast("double") / 2.0**59
+
+
 def round_to_ten(c: Column) -> Column:
     return F.floor(c / 10 + 0.5) * 10
 

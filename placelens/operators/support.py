@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelens.functions.numbers import round_half_up
+from placelens.functions.numbers import exact_sum, round_half_up
 
 VARIANTS = ("lower", "mean", "upper")
 # Top-up and caps a year, share and caps a month.
@@ -31,7 +31,8 @@ def by_child(children: DataFrame, choose: Column | None = None) -> DataFrame:
 
     children: family, child, tfc_eligible, uc_eligible, disabled, on_uc, charges and the variants' columns. Universal
     Credit goes to families on it, or where choose, over the sums tfc_total and uc_total, says so. Of its yearly amount
-    each eligible child has its share of costs, rounded, and the last child what is left.
+    each eligible child has its share of costs, rounded, and the last child what is left. Totals that are compared are
+    summed exactly: where both supports are equal to the penny, no order of rows decides.
     """
     c = F.col
     rows, sums, shared = children, [], []
@@ -39,7 +40,7 @@ def by_child(children: DataFrame, choose: Column | None = None) -> DataFrame:
         cost = c(f"fees_{v}") - c(f"saved_{v}")
         tfc = F.when(c("tfc_eligible"), round_half_up(F.least(cost * (TOP_UP / (1 + TOP_UP)), F.when(c("disabled"), CAP_DISABLED).otherwise(CAP)))).otherwise(0.0)
         rows = rows.withColumn(f"_tfc_{v}", tfc).withColumn(f"_cost_{v}", F.when(c("uc_eligible"), cost))
-        sums += [F.sum(f"_tfc_{v}").alias(f"_total_{v}"), F.sum(f"_cost_{v}").alias(f"_costs_{v}"), F.count(f"_cost_{v}").alias(f"_n_{v}")]
+        sums += [exact_sum(c(f"_tfc_{v}")).alias(f"_total_{v}"), exact_sum(c(f"_cost_{v}")).alias(f"_costs_{v}"), F.count(f"_cost_{v}").alias(f"_n_{v}")]
     sums = rows.groupBy("family").agg(*sums, F.max(F.when(c("uc_eligible"), c("child"))).alias("_last"), F.max("on_uc").alias("_on_uc"))
     for v in VARIANTS:
         yearly = round_half_up(F.least(c(f"_costs_{v}") / 12 * SHARE, F.when(c(f"_n_{v}") == 1, CAP_ONE).otherwise(CAP_MORE)) * 12)

@@ -1,8 +1,11 @@
 """Edge cases of timelines, support and offerings; their queries are held against SQL in the catalog."""
 
 import datetime as dt
+import itertools
+import math
 import random
 
+from placelens.functions.numbers import exact_sum
 from placelens.operators import offerings as O
 from placelens.operators import scoring, scratch, support, timeline
 from placelens.plans import families
@@ -68,6 +71,20 @@ def test_support_shares_sum_to_the_award(spark):
             assert abs(sum(r.uc for r in mine) - award) < 0.011 and all(r.tfc == 0 for r in mine)
 
 
+def test_no_order_of_rows_decides_between_equal_supports(spark):
+    """604.8 + 491.4 + 1474.2 is 2570.4, or a little less, by the order in which doubles are added."""
+    values = (3024.0, 2457.0, 7371.0)
+    rows = [(f"f{k}", n, True, n == 0, False, False, None, 0.0, x, 0.0, 0.0, 0.0, 0.0) for k, order in enumerate(itertools.permutations(values)) for n, x in enumerate(order)]
+    kind = "family string, child int, tfc_eligible boolean, uc_eligible boolean, disabled boolean, on_uc boolean, charges double, fees_lower double, fees_mean double, fees_upper double, saved_lower double, saved_mean double, saved_upper double"
+    df = spark.createDataFrame(rows, kind).coalesce(1)
+    got = support.by_child(df, F.col("tfc_total") < 2570.4).where("variant = 'mean'").select("family", "kind").distinct().collect()
+    assert len(got) == 6 and len({r.kind for r in got}) == 1
+    for values in ([0.1] * 10, [4000.0, 0.01, 75.6, 1474.2], [-0.07, 378.0, -1e9, 0.3], [None, 2.5], [None]):
+        (one,) = spark.createDataFrame([(v,) for v in values], "x double").agg(exact_sum(F.col("x")).alias("s")).collect()
+        known = [v for v in values if v is not None]
+        assert one.s == (math.fsum(known) if known else None)
+
+
 def test_offerings_of_odd_rows(spark):
     listings = spark.createDataFrame([("E1", "1", ["a", None, "a"], ["x"], "N", " "), ("E1", "1", ["a"], None, "M", "N/A"), ("E1", "2", None, None, None, None), ("E1", "2", None, None, None, None)], "area string, provider_id string, classes array<string>, labels array<string>, name string, postcode string")
     links = spark.createDataFrame([("E1", "1", "u", None), ("E1", "2", None, None)], "area string, provider_id string, urn string, school_urn string")
