@@ -34,8 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 0.8 or more of their five-word shingles the document with the least id stays; a null id stays.
 
-    Pairs come from prefixes of the shingle sets (llm/near_copies.py), not from op4's fingerprints: copies at 0.8
-    differ in too many bits of a SimHash for four of them to find.
+    Op4's fingerprints and its index of positional bytes link first, and each link is decided by the whole sets; as
+    copies at 0.8 differ in too many bits of a SimHash for four of them to find, prefixes of the shingle sets
+    (llm/near_copies.py) complete the links, so that none is missed.
     """
     return near_copies.distinct_documents(docs)
 

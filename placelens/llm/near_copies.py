@@ -1,4 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles, exact, by prefix filtering.
+"""Near copies by SimHash and the Jaccard similarity of word shingles, exact, completed by prefix filtering.
+
+Op4's operator goes first: fingerprints of the shingles, the index of positional
+bytes, its count filter and its bound on bits (simhash.py). Each link that it
+gives is decided by the whole sets. Copies at the share differ in more bits than
+any count of shared bytes is sure to find, so what fingerprints leave apart is
+completed: pairs that already hang together are not decided again.
 
 Under any one order of all shingles, two sets whose similarity reaches the share
 have their first common shingle among the first n - ceil(share * n) + 1 of each.
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph
+from . import common, graph, simhash
 
 _U = np.uint64
 
@@ -229,6 +235,27 @@ def _tally(words: int, share: Fraction):
     return run
 
 
+def fingerprint_links(rows: DataFrame, words: int) -> DataFrame:
+    """Pairs a < b of keys of rows(text, key) that op4's index links, those with equal fingerprints included; not yet decided by their sets."""
+    fps = common.written(simhash.fingerprints(rows.where("text <> ''"), "key", "text", words).distinct())
+    distinct = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    equal = fps.join(distinct, "fp").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    return common.written(simhash.near_links(distinct).union(equal).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+
+
+def _decide(pairs: DataFrame, held: DataFrame, words: int, share: Fraction) -> DataFrame:
+    """The pairs(a, b) whose texts, in held(key, text), reach the share."""
+    both = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return both.sortWithinPartitions("a").mapInArrow(_decided(words, share), "a long, b long")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs(a, b) whose ends have not one root in roots(node, root)."""
+    for end in "ab":
+        pairs = pairs.join(roots.toDF(end, f"root_{end}"), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _cluster_links(held: DataFrame, edges: DataFrame, words: int, share: Fraction, block_chars: int) -> DataFrame:
     """Links within the clusters that edges(u, v) make of texts held(key, text)."""
     members = common.written(held.join(graph.components(edges), F.col("key") == F.col("node")).select(F.col("root").alias("cluster"), "key", "text"))
@@ -239,22 +266,24 @@ def _cluster_links(held: DataFrame, edges: DataFrame, words: int, share: Fractio
 
 
 def links(rows: DataFrame, first: DataFrame, words: int = 5, share: Fraction = Fraction(4, 5), frequent: int = 64, max_late: int = 200_000, block_chars: int = 4_000_000) -> DataFrame:
-    """Pairs a-b of keys of rows(doc_id, text, key) whose similarity is share or more: all of them, or in clusters those that span components.
+    """Pairs a-b of keys of rows(doc_id, text, key) whose similarity is share or more, as many as span their components.
 
     Texts without words link to none.
 
     key is the text's; first(key, id) names one row of each key.
     """
+    close = fingerprint_links(rows, words)
+    common.release(rows.sparkSession)  # the index's shuffle files
     counts = rows.select("text").mapInArrow(_early(words, share), "s long").groupBy("s").count().where(F.col("count") > frequent)
     late = counts.orderBy(F.desc("count"), "s").limit(max_late).select("s").toPandas()["s"].to_numpy(np.int64).view(_U)
     listed = rows.select("key", "text").mapInArrow(_listed(words, share, np.sort(late)), "s long, key long, n int, i int")
     found = listed.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(_meet(share, frequent), "kind int, a long, b long")
     found = common.written(found.where("a <> b or kind = 1").distinct())
     met, edges = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    named = found.select(F.col("a").alias("key")).union(found.select("b")).distinct().join(first, "key").select(F.col("id").alias("doc_id"), "key")
+    named = found.select("a", "b").union(close).select(F.explode(F.array("a", "b")).alias("key")).distinct().join(first, "key").select(F.col("id").alias("doc_id"), "key")
     held = common.written(rows.join(named, ["doc_id", "key"]).dropDuplicates(["key"]).select("key", "text"))
-    both = met.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    linked = both.sortWithinPartitions("a").mapInArrow(_decided(words, share), "a long, b long")
+    linked = common.written(_decide(close, held, words, share))
+    linked = linked.union(_decide(_apart(met, graph.components(linked.toDF("u", "v"))), held, words, share))
     if edges.take(1):
         linked = linked.union(_cluster_links(held, edges, words, share, block_chars))
     return common.written(linked)

@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 from placelens.llm import near_copies
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, gone string"
 
@@ -111,3 +112,17 @@ def test_large_group_emits_no_pairs(spark, monkeypatch):
     assert {r.doc_id for r in left.collect()} == _stay(rows)
     keyed = df.select("doc_id", "text", F.xxhash64("text").alias("key"))
     assert near_copies.links(keyed, keyed.select("key", F.col("doc_id").alias("id")), frequent=8).count() < 400
+
+
+def test_fingerprints_link_first_and_prefixes_complete(spark, monkeypatch):
+    rows = _made()
+    df = spark.createDataFrame(rows, SCHEMA)
+    keyed = df.selectExpr("doc_id", "CASE WHEN trim(text) <> '' THEN text ELSE '' END AS text").withColumn("key", F.xxhash64("text"))
+    key, sets = {r.doc_id: r.key for r in keyed.collect()}, {i: _set(t) for i, t, _ in rows}
+    close = {(r.a, r.b) for r in near_copies.fingerprint_links(keyed, 5).collect()}
+    alike = {tuple(sorted((key[a], key[b]))) for a in sets for b in sets if sets[a] and sets[a] == sets[b] and key[a] != key[b]}
+    assert alike and alike <= close
+    seen, decide = [], near_copies._decide
+    monkeypatch.setattr(near_copies, "_decide", lambda pairs, *rest: seen.append({(r.a, r.b) for r in pairs.collect()}) or decide(pairs, *rest))
+    assert {r.doc_id for r in near_copies.distinct_documents(df).collect()} == _stay(rows)
+    assert len(seen) == 2 and seen[0] == close and not seen[1] & alike and seen[1] - close
