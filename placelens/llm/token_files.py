@@ -30,7 +30,7 @@ from . import common, huffman, tokens
 
 _MAGIC = b"TOKF0001"
 _NO_ID = -(2**63)
-_GROUPS = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, sizes binary, ids binary"
+_GROUPS = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, sizes binary, ids binary, counts binary"
 
 
 def _planes(ids: np.ndarray) -> bytes:
@@ -42,14 +42,14 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 
 def _tokenize(path: str, file_tokens: int):
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         enc, part, seq, held, size = tokens.encoder(path), TaskContext.get().partitionId(), 0, [], 0
 
         def out():
             names, sizes, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
-            return common.batch(schema, [part], [seq], [len(names)], [len(ids)], [names.astype("<i8").tobytes()], [sizes.astype("<i8").tobytes()], [_planes(ids)])
+            return common.batch(schema, [part], [seq], [len(names)], [len(ids)], [names.astype("<i8").tobytes()], [sizes.astype("<i8").tobytes()], [_planes(ids)], [np.bincount(ids).astype("<i8").tobytes()])
 
         for b in batches:
             names = np.array([_NO_ID if x is None else x for x in b.column(0).to_pylist()], np.int64)
@@ -72,7 +72,7 @@ def _count(batches):
     counts = np.zeros(0, np.int64)
     for b in batches:
         for data in b.column(0).to_pylist():
-            own = np.bincount(_from_planes(data))
+            own = np.frombuffer(data, "<i8").copy()
             if len(own) > len(counts):
                 own, counts = counts, own
             counts[: len(own)] += own
@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, out_dir: str, id_col: str = "doc_id", tex
     where = common.shared_dir(spark)
     rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_tokenize(path, file_tokens), _GROUPS).write.option("compression", "zstd").parquet(where)
     groups = spark.read.schema(_GROUPS).parquet(where)
-    counted = groups.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = groups.select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
     counts[[r.id for r in counted]] = [r.n for r in counted]
     lengths = huffman.code_lengths(counts, max_bits).tobytes()
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, out_dir: str, id_col: str = "doc_id", tex
                 common.put_file(f"{out_dir}/{file}", pack_file(np.frombuffer(doc_ids, "<i8"), np.frombuffer(sizes, "<i8"), _from_planes(ids), codec, block_tokens))
                 yield common.batch(names, [file], [part], [seq], [n_docs], [n_tokens])
 
-    manifest = common.written(groups.mapInArrow(put, "file string, part int, seq int, n_docs long, n_tokens long"))
+    manifest = common.written(groups.drop("counts").mapInArrow(put, "file string, part int, seq int, n_docs long, n_tokens long"))
     common.remove(spark, where)
     return manifest
 

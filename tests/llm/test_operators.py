@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from placelens.llm import common, decontaminate, graph, host_rules, huffman, lines, main_text, packing, secrets, simhash, substrings, token_files, tokens, warc
@@ -52,6 +53,13 @@ def _library():
     return Tokenizer.from_file(tokens.default_path())
 
 
+def test_token_counts_come_with_the_groups():
+    """Ids are counted where they are made; counting reads no ids again."""
+    groups = pa.record_batch([pa.array([np.array(c, "<i8").tobytes() for c in ([2, 0, 1], [0, 5], [0, 0, 0, 7])])], names=["counts"])
+    (got,) = token_files._count(iter([groups]))
+    assert got.to_pydict() == {"id": [0, 1, 2, 3], "n": [2, 5, 1, 7]}
+
+
 def test_token_files(spark, docs, empty):
     out = common.shared_dir(spark)
     manifest = token_files.write_token_files(docs, out, file_tokens=500, block_tokens=200)
