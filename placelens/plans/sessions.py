@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placelens.operators import session_columns as S
+from placelens.operators.scratch import dealt
 from placelens.plans.base import table
 from placelens.plans.registry import registry
 
@@ -30,7 +31,8 @@ def _made(spark, d):
     props = "concat('{', array_join(array_compact(array(" + ", ".join(one(k, v) for k, v in _VALUES.items()) + ")), ', '), '}')"
     e = table(spark, d, "events").withColumn("k", F.floor(F.col("event_id") / _N)).withColumn("ts", F.date_trunc("second", "ts").cast("timestamp"))
     name = F.get(F.array(*map(F.lit, _EVENTS)), (F.col("event_id") % _N).cast("int"))
-    return e.select(F.expr(_SESSION).alias("session_id"), "event_id", "ts", name.alias("event"), F.expr(props).alias("properties"))
+    own = e.select(F.expr(_SESSION).alias("session_id"), "event_id", "ts", name.alias("event"), "k")
+    return dealt(own, "session_id", rows=50000).select("session_id", "event_id", "ts", "event", F.expr(props).alias("properties"))
 
 
 def _plain(v: str | None) -> str:
