@@ -118,7 +118,7 @@ def _of(fact: str, value: Column) -> Column:
 
 def _json(values: Column, quoted: bool) -> Column:
     """Sorted values as a JSON list with a space after each comma."""
-    one = lambda x: F.substring_index(F.substr(F.to_json(F.array(x)), F.lit(2)), "]", 1) if quoted else x.cast("string")
+    one = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "") if quoted else x.cast("string")
     return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(values), one), ", "), F.lit("]"))
 
 

@@ -44,3 +44,9 @@ def test_columns_of_a_session(spark):
     assert {k: got["a"][k] for k in want} == want
     empty = {"event_count_other": 3, "pageviews_total": 1, "provider_searches": 2, "lad_codes": "[]", "lad_mode": None, "iod_decile_mean": None, "pages_distinct": 0, "device_type": None}
     assert {k: got["b"][k] for k in empty} == empty
+
+
+def test_texts_with_brackets_stay_whole_in_lists(spark):
+    events = _events(spark, [("a", k, "provider_search", {"lad25cd": x}) for k, x in enumerate(("E]1", '["', "E2]"))])
+    [row] = session_columns(events).collect()
+    assert json.loads(row.lad_codes) == sorted(("E]1", '["', "E2]")) and row.provider_search_lads == row.lad_codes and "session_id" not in row
